@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.operators.footer_profile import chunk_frequencies, column_quality, load_findings, values_of
+from tabulon.operators.impute import fill_missing
 from tabulon.operators.nearby import containing_regions, draw_pivots, near_pairs, valid_points
 from tabulon.operators.rejects import load_records, with_delimiter
+from tabulon.functions.text import NULL_TOKENS, strip
 from tabulon.runtime import table
 
 RADIUS_M = 25.0
@@ -36,4 +39,39 @@ def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).where("reason is null").select("line_id", "file_id", "line_no", "name", "note", "score")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_rows": p2_rows}
+PROFILED = ("name", "age", "city", "score", "visited_on", "consent")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = values_of(chunk_frequencies(table(spark, sf_dir, "quality_loads"), "load_id", PROFILED))
+    return load_findings(values, table(spark, sf_dir, "loads"), numeric=("age", "score"), categorical=("city", "consent"))
+
+
+def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return column_quality(values_of(chunk_frequencies(table(spark, sf_dir, "quality_loads"), "load_id", PROFILED)))
+
+
+def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    city = F.col("city")
+    return fill_missing(
+        table(spark, sf_dir, "people"),
+        "person_id",
+        numeric={"age": F.when(F.col("age").between(0, 120), F.col("age")), "score": F.when(F.col("score").between(0, 100), F.col("score"))},
+        categorical={"city": F.when(~city.isin(*NULL_TOKENS) & (F.length(strip(city)) > 0), city)},
+        groups=[("site", F.col("site_id")), ("day", F.col("recorded_on"))],
+    ).withColumnRenamed("id", "person_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_filled(spark, sf_dir).select("person_id", "column_name", "filled_from")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_rows": p2_rows,
+    "p3_found": p3_found,
+    "p3_profile": p3_profile,
+    "p6_found": p6_found,
+    "p6_filled": p6_filled,
+}
