@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.copies import collapse, surplus
+from tabulon.llm.lookalikes import unusual_cells
+from tabulon.llm.mojibake import Garble, fit, garbled_cells, restore_text
 from tabulon.runtime import table
 
 _PEOPLE = {"name": "text", "city": "text", "age": "exact", "score": "exact", "recorded_on": "exact"}
@@ -28,5 +30,39 @@ def p4_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_copies": p4_copies}
+def _garble(spark: SparkSession, sf_dir: str) -> Garble:
+    return fit([(table(spark, sf_dir, "people"), ["name", "city"]), (table(spark, sf_dir, "cleaning_issues"), ["note"])])
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = _garble(spark, sf_dir)
+    people = garbled_cells(table(spark, sf_dir, "people"), "person_id", ["name", "city"], model)
+    issues = garbled_cells(table(spark, sf_dir, "cleaning_issues"), "row_id", ["note"], model)
+    return people.withColumn("table_name", F.lit("people")).unionAll(issues.withColumn("table_name", F.lit("cleaning_issues")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_restored(spark, sf_dir).select("table_name", "row_id", "column_name")
+
+
+def p7_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    issues = table(spark, sf_dir, "cleaning_issues").select("row_id", "name", "note")
+    model = fit([(issues, ["name", "note"])])
+    cells = unusual_cells(issues, "row_id", ["name", "note"])
+    notes = restore_text(cells, ["original"], model)
+    return notes.where(~((F.col("column_name") == "note") & F.col("original_garbled"))).select("row_id", "column_name", "unified")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_unified(spark, sf_dir).select("row_id", "column_name")
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_copies": p4_copies,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
+    "p7_found": p7_found,
+    "p7_unified": p7_unified,
+}
 ORACLES: dict[str, str] = {}
