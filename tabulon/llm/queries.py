@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tabulon.llm.copies import collapse, surplus
 from tabulon.llm.lookalikes import unusual_cells
 from tabulon.llm.mojibake import Garble, fit, garbled_cells, restore_text
-from tabulon.runtime import table
+from tabulon.llm.mixing import mix
+from tabulon.llm.packing import fill_containers
+from tabulon.llm.tokens import count_tokens
+from tabulon.runtime import cut, table
 
 _PEOPLE = {"name": "text", "city": "text", "age": "exact", "score": "exact", "recorded_on": "exact"}
 _ISSUES = {"score": "exact", "received_on": "exact", "name": "text", "note": "text"}
@@ -57,6 +60,28 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_unified(spark, sf_dir).select("row_id", "column_name")
 
 
+def _token_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(count_tokens(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "text"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = _token_sizes(spark, sf_dir)
+    out = None
+    for kind, capacity in sorted(map(tuple, table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens").collect())):
+        part = fill_containers(sizes, "doc_id", "tokens", capacity).withColumn("container_kind", F.lit(kind))
+        out = part if out is None else out.unionAll(part)
+    return out.select("container_kind", "container", "position", F.col("id").alias("doc_id"), "piece", "start", F.col("size").alias("tokens"), F.col("room").alias("room_left"))
+
+
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used, _ = mix(_token_sizes(spark, sf_dir), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))
+    return used.withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_token_sizes(spark, sf_dir), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))[1]
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_copies": p4_copies,
@@ -64,5 +89,8 @@ QUERIES = {
     "p5_restored": p5_restored,
     "p7_found": p7_found,
     "p7_unified": p7_unified,
+    "p8_containers": p8_containers,
+    "p9_uses": p9_uses,
+    "p9_shares": p9_shares,
 }
 ORACLES: dict[str, str] = {}
