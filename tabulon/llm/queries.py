@@ -10,6 +10,7 @@ from tabulon.llm.lookalikes import unusual_cells
 from tabulon.llm.mojibake import Garble, fit, garbled_cells, restore_text
 from tabulon.llm.mixing import mix
 from tabulon.llm.packing import fill_containers
+from tabulon.llm.subjects import fit_lexicon, subjects_of
 from tabulon.llm.tokens import count_tokens
 from tabulon.runtime import cut, table
 
@@ -82,6 +83,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_token_sizes(spark, sf_dir), "doc_id", "source", "tokens", table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    # The subjects are few and fixed; each is one row.
+    names = [r["subject"] for r in table(spark, sf_dir, "subjects").select("subject").collect()]
+    lexicon = fit_lexicon(documents, "doc_id", "text", table(spark, sf_dir, "subject_labels"), names, parallel="tgt_text")
+    return subjects_of(documents, "doc_id", "text", lexicon, address="bundle_id", source="source").withColumnRenamed("id", "doc_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_copies": p4_copies,
@@ -92,5 +105,7 @@ QUERIES = {
     "p8_containers": p8_containers,
     "p9_uses": p9_uses,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_subjects": p10_subjects,
 }
 ORACLES: dict[str, str] = {}
