@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tabulon.errors import EngineError
 from tabulon.functions.sphere import EARTH_M, haversine, unit
-from tabulon.runtime import cut, quoted
+from tabulon.runtime import cut, hashed_share, quoted
 
 #: Metres by which bounds are widened for rounding; it never changes a result.
 SLACK_M = 1.0
@@ -154,7 +154,7 @@ def draw_pivots(points: DataFrame, per_cell: int, most: int = 65_536) -> Pivots
         return None
     cells = max(1, min(most, math.ceil(n / per_cell)))
     share = min(1.0, 4.0 * max(cells, 64) / n)
-    drawn = points.where(F.shiftrightunsigned(F.xxhash64("id"), 1) <= F.lit(int(share * (2**63 - 1)))).select("lon", "lat").toPandas()
+    drawn = points.where(hashed_share(F.col("id"), share)).select("lon", "lat").toPandas()
     if drawn.empty:
         drawn = points.select("lon", "lat").limit(1).toPandas()
     return Pivots(drawn["lon"].to_numpy(), drawn["lat"].to_numpy(), cells)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,11 +40,16 @@ def fresh(taken: Sequence[str], *wanted: str) -> list[str]:
     return out
 
 
-def quoted(name: str) -> F.Column:
+def quoted(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def hashed_share(c: Column, share: float) -> Column:
+    """A predicate that holds for about ``share`` of the values of ``c``, always the same ones; for all at 1."""
+    return F.shiftrightunsigned(F.xxhash64(c), 11) < F.lit(int(min(1.0, share) * 2**53))
+
+
 def ranked(df: DataFrame, keys: list[str], order: str, rank: str, buckets: int = 256, weight: str | None = None) -> DataFrame:
     """Add ``rank``: the 0-based position of a row among the rows of its ``keys``, in the order of the
     long column ``order`` hashed, or, with ``weight``, the sum of the weights of the rows before it.
