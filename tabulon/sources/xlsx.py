@@ -27,7 +27,7 @@ DATE_FORMATS = frozenset([*range(14, 23), *range(27, 37), *range(45, 48), *range
 
 _NS = {"m": MAIN}
 _EPOCH = dt.datetime(1899, 12, 30)
-_BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+_BAD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 
 
 def _column(ref: str) -> int:
