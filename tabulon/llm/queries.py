@@ -108,4 +108,29 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_subjects": p10_subjects,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _plain(c: str) -> str:
+    kept = rf"regexp_replace(coalesce({c}, ''), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+    return f"replace(lower(replace(upper({kept}), 'ß', 'SS')), 'ς', 'σ')"
+
+
+def _same(c: str) -> str:
+    return f"coalesce({c}::VARCHAR, '~')"
+
+
+def _groups(name: str, key: str, parts: list[str]) -> str:
+    return f"SELECT '{name}' AS table_name, min({key}) OVER (PARTITION BY {', '.join(parts)}) AS first_id, {key} AS copy_id FROM {name}"
+
+
+_A, _B = _plain("name"), _plain("note")
+_COPIES = " UNION ALL ".join(
+    (
+        _groups("people", "person_id", [_plain("name"), _plain("city"), _same("age"), _same("score"), _same("recorded_on")]),
+        _groups("cleaning_issues", "row_id", [_same("score"), _same("received_on"), f"least({_A}, {_B})", f"greatest({_A}, {_B})"]),
+    )
+)
+ORACLES: dict[str, str] = {
+    "p4_found": f"SELECT * FROM ({_COPIES}) WHERE first_id <> copy_id",
+    "p4_copies": f"SELECT table_name, first_id, count(*) AS copies FROM ({_COPIES}) GROUP BY ALL",
+}
