@@ -26,7 +26,8 @@ def letters_and_digits(c: Column) -> Column:
     Upper-casing first joins what full case folding joins (sharp s and ss, the two small sigmas).
     """
     kept = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", "")
-    return F.regexp_replace(F.lower(F.upper(kept)), "ς", "σ")
+    # What stands between the two also keeps the optimiser from dropping the inner one.
+    return F.translate(F.lower(F.replace(F.upper(kept), F.lit("ẞ"), F.lit("SS"))), "ς", "σ")
 
 
 def exact_value(c: Column, dtype: str) -> Column:

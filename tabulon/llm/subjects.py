@@ -209,7 +209,7 @@ _TRUST = (0.95, 0.7, 0.9, 0.6, 0.3, 0.2)
 class LatentModel:
     """Accuracies of the labelling functions, learnt from how often which votes meet."""
 
-    def __init__(self, patterns: Sequence[tuple[int, ...]], counts: Sequence[int], classes: int, rounds: int = 20):
+    def __init__(self, patterns: Sequence[tuple[int, ...]], counts: Sequence[int], classes: int, rounds: int = 60):
         v, n = np.array(patterns, int).reshape(-1, len(FUNCTIONS)), np.array(counts, float)
         self.trust = np.array(_TRUST)
         self.prior = np.full(classes, 1.0 / classes)
