@@ -215,10 +215,12 @@ class LatentModel:
         self.prior = np.full(classes, 1.0 / classes)
         hit = v[:, :, None] == np.arange(classes)
         voted = v >= 0
+        # Only votes that meet others tell anything about trust; a lone vote would be judged by itself.
+        met = n * (voted.sum(axis=1) > 1)
         for _ in range(rounds):
             post = self._posterior(hit, voted, classes)
-            right = np.einsum("p,plk,pk->l", n, hit, post)
-            all_votes = (n[:, None] * voted).sum(axis=0)
+            right = np.einsum("p,plk,pk->l", met, hit, post)
+            all_votes = (met[:, None] * voted).sum(axis=0)
             # Each function keeps a hundred votes' worth of its initial trust.
             self.trust = np.clip((right + 100 * np.array(_TRUST)) / (all_votes + 100), 1.0 / classes, 0.999)
             self.prior = ((n[:, None] * post).sum(axis=0) + 1) / (n.sum() + classes)
