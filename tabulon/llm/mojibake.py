@@ -4,7 +4,8 @@ A hidden Markov model reads a text character by character. It has one clean stat
 encoding pair (written in the one, read in the other). The clean state emits a character with its
 frequency in the corpus; the state of a pair emits a run of characters with the frequency of the text
 that the pair's inverse transform makes of it, and nothing that the transform rejects. ASCII is the
-same in all states. The most probable path labels every character, and each labelled span is put
+same in all states. Where a pair turns letters into letters of the same alphabet, words are weighed by
+the frequency of their letter pairs without case instead, as single letters tell too little. The most probable path labels every character, and each labelled span is put
 through its state's inverse transform, again and again where text was garbled more than once.
 
 The character frequencies are counted over all cells, then once more over the cells as restored by
@@ -35,6 +36,9 @@ _UTF8 = re.compile(
 _DOUBLE = re.compile("(?:[\x81-\xfe][\x40-\x7e\x80-\xfe]|[\x81-\xfe][0-9][\x81-\xfe][0-9])+")
 # Words of nothing but the letters that Cyrillic turns into, read one byte a character.
 _CYRILLIC = re.compile(r"(?<![^\W\d_])[\xc0-\xff\xa8\xb8]+(?![^\W\d_])")
+# Words of Cyrillic letters, and of what they turn into, for the two encodings that hold them in another order.
+_LETTERS = re.compile(r"(?<![^\W\d_])[\u0401\u0406\u0408\u0410-\u044f\u0451\u0456]+(?![^\W\d_])")
+_ORDERS = (("koi8-r", "cp1251"), ("cp1251", "koi8-r"))
 _LOST = "\ufffd"
 
 
@@ -88,11 +92,16 @@ class Garble:
     """The model: log frequencies of characters, and the search for the best path."""
 
     def __init__(self, counts: Counter, enter: float = 1e-3, leave: float = 0.05, mixed: float = 6.0):
-        total = sum(counts.values()) + 1.0
+        single = {c: n for c, n in counts.items() if len(c) == 1}
+        total = sum(single.values()) + 1.0
         blocks: Counter = Counter()
-        for ch, n in counts.items():
+        for ch, n in single.items():
             blocks[ord(ch) >> 7] += n
-        self.total, self.counts, self.blocks = total, dict(counts), dict(blocks)
+        self.total, self.counts, self.blocks = total, single, dict(blocks)
+        self.two = {c: n for c, n in counts.items() if len(c) == 2}
+        self.one: dict[str, int] = {}
+        for c, n in self.two.items():
+            self.one[c[0]] = self.one.get(c[0], 0) + n
         self.enter, self.stay, self.leave, self.keep = math.log(enter), math.log(1 - enter), math.log(leave), math.log(1 - leave)
         self.mixed = mixed
         self._memo: dict[str, float] = {}
@@ -113,6 +122,23 @@ class Garble:
     def score(self, text: str) -> float:
         return sum(map(self.log, text))
 
+    def word(self, word: str) -> float:
+        """Log frequency of a word's letter pairs without case."""
+        w = " " + word.casefold()
+        return sum(math.log((self.two.get(a + b, 0) + 0.05) / (self.one.get(a, 0) + 2.0)) for a, b in zip(w, w[1:]))
+
+    def reordered(self, text: str) -> Iterator[tuple[int, int, int, str, float]]:
+        """(state, start, end, text before, gain) of words that another order of letters makes likelier or not."""
+        for m in _LETTERS.finditer(text):
+            w = m.group()
+            for k, (written, read) in enumerate(_ORDERS):
+                try:
+                    fixed = w.encode(read).decode(written)
+                except (UnicodeEncodeError, UnicodeDecodeError):
+                    continue
+                if fixed.isalpha():
+                    yield len(SINGLE) + 5 + k, m.start(), m.end(), fixed, self.word(fixed) - self.word(w)
+
     def segments(self, text: str) -> list[tuple[int, int, int, str]]:
         """(state, start, end, text before it was garbled) of every run that some pair can have made."""
         if self._tables is None:
@@ -149,9 +175,10 @@ class Garble:
     def label(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, restored) of the spans that the most probable path puts into a garbled state."""
         segs = self.segments(text)
-        if not segs:
+        words = list(self.reordered(text)) if _LETTERS.search(text) else []
+        if not segs and not any(gain > 0 for *_, gain in words):
             return []
-        states = len(SINGLE) + 5
+        states = len(SINGLE) + 5 + len(_ORDERS)
         n = len(text)
         emit: list[dict[int, float]] = [{} for _ in range(n)]
         part: dict[tuple[int, int], tuple[int, int, str]] = {}
@@ -160,6 +187,10 @@ class Garble:
             for t in range(i, j):
                 emit[t][k] = each
                 part[k, t] = (i, j, fixed)
+        for k, i, j, fixed, gain in words:
+            for t in range(i, j):
+                emit[t][k] = self.log(text[t]) + gain / (j - i)
+                part[k, t] = (i, j, fixed)
         ends = {j for _, _, j, _ in segs}
         score = [0.0] + [self.enter] * (states - 1)
         back: list[list[int]] = []
@@ -220,7 +251,7 @@ class Garble:
 
 
 def _count(df: DataFrame, columns: Sequence[str], model: Garble | None) -> Counter:
-    """How often each character occurs in all cells of the columns, as they are or as restored."""
+    """How often each character, and each pair of Cyrillic letters, occurs in all cells, as they are or as restored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -231,16 +262,20 @@ def _count(df: DataFrame, columns: Sequence[str], model: Garble | None) -> Count
                         text = model.restore(v)[0] if model is not None and not v.isascii() else v
                         for ch, m in Counter(text).items():
                             total[ch] += n * m
-        yield pa.RecordBatch.from_arrays([pa.array([ord(c) for c in total], pa.int32()), pa.array(list(total.values()), pa.int64())], ["cp", "n"])
+                        if not text.isascii():
+                            for w in _LETTERS.findall(text.casefold()):
+                                for a, b in zip(" " + w, w):
+                                    total[a + b] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["c", "n"])
 
-    found = df.select(*[quoted(c) for c in columns]).mapInArrow(run, "cp int, n long").groupBy("cp").agg(F.sum("n").alias("n")).collect()
-    return Counter({chr(r["cp"]): r["n"] for r in found if r["cp"] < 0xD800 or r["cp"] > 0xDFFF})
+    found = df.select(*[quoted(c) for c in columns]).mapInArrow(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
+    return Counter({r["c"]: r["n"] for r in found})
 
 
 def fit(tables: Sequence[tuple[DataFrame, Sequence[str]]], rounds: int = 1) -> Garble:
     """Character frequencies of all cells of all tables, then ``rounds`` times of the cells as restored.
 
-    What comes to the driver is one row per distinct character.
+    What comes to the driver is one row per distinct character and pair of Cyrillic letters.
     """
     if not tables:
         raise EngineError("At least one table is required.")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tabulon.llm.mojibake import Garble, _count, fit, garbled_cells, restore_text
+from tabulon.llm.mojibake import _LETTERS, Garble, _count, fit, garbled_cells, restore_text
 
 CLEAN = [
     "Gerät läuft, Rückfrage nötig",
@@ -39,7 +39,10 @@ def model():
     rng = random.Random(1)
     counts = Counter()
     for _ in range(300):
-        counts.update(rng.choice(CLEAN))
+        text = rng.choice(CLEAN)
+        counts.update(text)
+        for w in _LETTERS.findall(text.casefold()):
+            counts.update(a + b for a, b in zip(" " + w, w))
     return Garble(counts)
 
 
@@ -63,6 +66,15 @@ def test_twice_garbled_parts_and_other_pairs(model):
     assert model.restore("G�rard") == ("G�rard", True)
 
 
+def test_letters_in_another_order(model):
+    for written, read in (("koi8-r", "cp1251"), ("cp1251", "koi8-r")):
+        bad = misread(CLEAN[3], written, read)
+        assert model.restore(bad) == (CLEAN[3], True)
+        assert model.restore(f"{CLEAN[0]}. {bad}")[0] == f"{CLEAN[0]}. {CLEAN[3]}"
+    for same in (CLEAN[3].upper(), CLEAN[3].swapcase(), CLEAN[3].title()):
+        assert model.restore(same) == (same, False)
+
+
 def test_clean_text_stays(model):
     for text in [*CLEAN, "", "Gîã", "SÃO PAULO", "Ångström", "样本", "FUHÉŠT", "naïve café"]:
         assert model.restore(text) == (text, False)
