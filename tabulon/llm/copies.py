@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.errors import EngineError
-from tabulon.runtime import quoted
+from tabulon.runtime import cut, quoted
 
 _LOW = 0xFFFFFFFF
 
@@ -84,7 +84,15 @@ def collapse(df: DataFrame, id_column: str, fields: Mapping[str, str], swappable
 def surplus(df: DataFrame, id_column: str, fields: Mapping[str, str], swappable: Sequence[Sequence[str]] = ()) -> DataFrame:
     """(first_id, copy_id): one row per row that repeats the record of the smaller ``first_id``; see ``collapse``."""
     d = normalised(df, id_column, fields, swappable)
-    keys = [c for c in d.columns if c != "id"]
-    groups = d.groupBy(*keys).agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    hit = d.join(groups.hint("shuffle_hash"), keys).where(F.col("id") != F.col("first_id"))
-    return hit.select("first_id", F.col("id").alias("copy_id"))
+    lanes, keys = [f"f{i}" for i in range(4)], [c for c in d.columns if c != "id"]
+    records = d.groupBy(*keys).agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
+    # Texts are shuffled once, for the verification. A fingerprint of one record only, which is all of
+    # them but for collisions, then stands for it when the rows are looked up.
+    prints = records.groupBy(*lanes).agg(F.count("*").alias("records"), F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
+    prints = cut(prints.where("copies > 1"))
+    hit = d.select("id", *lanes).join(prints.where("records = 1").select(*lanes, "first_id"), lanes)
+    collided = prints.where("records > 1").select(*lanes)
+    if not collided.isEmpty():
+        same = records.where("copies > 1").drop("copies").join(collided, lanes, "left_semi")
+        hit = hit.select("id", "first_id").unionAll(d.join(same, keys).select("id", "first_id"))
+    return hit.where(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("copy_id"))

@@ -53,3 +53,14 @@ def test_hash_sums_stand_for_sets(rows, spark):
     one = spark.range(1)
     found = [tuple(one.select(*[x.alias(f"f{i}") for i, x in enumerate(fingerprint(p))]).first()) for p in (a, b, c)]
     assert found[0] == found[1] != found[2]
+
+
+def test_colliding_fingerprints_stay_apart(rows, tuples, monkeypatch):
+    from pyspark.sql import functions as F
+
+    import tabulon.llm.copies as copies
+
+    monkeypatch.setattr(copies, "fingerprint", lambda pairs: [F.length(pairs[0][1]).cast("long")] * 4)
+    t = rows([(1, "ab", "x", None, None, 0), (2, "cd", "x", None, None, 0), (3, "A-B", "x", None, None, 0), (4, "ef", "x", None, None, 0), (5, "abc", "x", None, None, 0), (6, "ABC", "x", None, None, 0)], SCHEMA)
+    assert tuples(surplus(t, "id", FIELDS)) == [(1, 3), (5, 6)]
+    assert tuples(collapse(t, "id", FIELDS)) == [(1, 2), (2, 1), (4, 1), (5, 2)]
