@@ -126,37 +126,47 @@ def fill_missing(
     part in that group; cells that no group can fill are left out; an empty table gives no rows.
     Ids need not be unique: each row's cells come out. Columns other than those used are not read.
     """
-    features = [*numeric, *categorical]
+    # Columns of its own, so that a feature may have any name.
+    inner = {c: f"_v{i}" for i, c in enumerate([*numeric, *categorical])}
     keys = [f"_g{i}" for i in range(len(groups))]
     clean = df.select(
         quoted(id_column).alias("id"),
-        *[e.cast("double").alias(c) for c, e in numeric.items()],
-        *[e.cast("string").alias(c) for c, e in categorical.items()],
+        *[e.cast("double").alias(inner[c]) for c, e in numeric.items()],
+        *[e.cast("string").alias(inner[c]) for c, e in categorical.items()],
         *[e.alias(k) for k, (_, e) in zip(keys, groups)],
     )
     clean = cut(clean)
-    model = fit_prototypes(clean, list(numeric), list(categorical), clusters=clusters, rounds=rounds, gamma=gamma)
+    model = fit_prototypes(clean, [inner[c] for c in numeric], [inner[c] for c in categorical], clusters=clusters, rounds=rounds, gamma=gamma)
     clean = clean.withColumn("_k", model.cluster())
     null_num, null_cat = F.lit(None).cast("double"), F.lit(None).cast("string")
     cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(c).alias("num"), null_cat.alias("cat")) for c in numeric],
-        *[F.struct(F.lit(c).alias("feature"), null_num.alias("num"), F.col(c).alias("cat")) for c in categorical],
+        *[F.struct(F.lit(c).alias("feature"), F.col(inner[c]).alias("num"), null_cat.alias("cat")) for c in numeric],
+        *[F.struct(F.lit(c).alias("feature"), null_num.alias("num"), F.col(inner[c]).alias("cat")) for c in categorical],
     )
-    gaps = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in features])
+    gaps = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in inner.values()])
     long = clean.select("id", "_k", *keys, F.explode(cells).alias("c")).select("id", "_k", *keys, "c.*")
     held = long.where(F.col("num").isNotNull() | F.col("cat").isNotNull())
     wanted = clean.where(gaps).select("id", "_k", *keys, F.explode(cells).alias("c")).select("id", "_k", *keys, "c.*")
     wanted = wanted.where(F.col("num").isNull() & F.col("cat").isNull()).drop("num", "cat")
-    choices = []
+    found = None
     for i, (name, _) in enumerate(groups):
         key = keys[i]
         known = held.where(F.col(key).isNotNull())
+        if i:
+            # Later groups only serve what earlier ones left; their centres are made for those keys alone.
+            known = known.join(wanted.select(key, "feature").distinct(), [key, "feature"], "left_semi")
+        choices = []
         for level, on in (("cluster", [key, "_k"]), ("group", [key])):
-            at = f"_c{i}_{level}"
-            centres = _centres(known, on).select(*on, "feature", F.struct("num", "cat").alias(at))
-            wanted = wanted.join(centres, [*on, "feature"], "left")
+            at = f"_c_{level}"
+            wanted = wanted.join(_centres(known, on).select(*on, "feature", F.struct("num", "cat").alias(at)), [*on, "feature"], "left")
             choices.append(
                 F.when(F.col(at).isNotNull(), F.struct(F.lit(name).alias("filled_from"), F.lit(level).alias("method"), F.col(f"{at}.num"), F.col(f"{at}.cat")))
             )
-    out = wanted.select("id", F.col("feature").alias("column_name"), F.coalesce(*choices).alias("f")).where("f is not null")
+        tried = cut(wanted.select("id", "_k", *keys, "feature", F.coalesce(*choices).alias("f")))
+        filled = tried.where("f is not null").select("id", "feature", "f")
+        found = filled if found is None else found.unionAll(filled)
+        wanted = tried.where("f is null").drop("f")
+    if found is None:
+        raise EngineError("At least one group is required.")
+    out = found.select("id", F.col("feature").alias("column_name"), "f")
     return out.select("id", "column_name", "f.filled_from", "f.method", F.col("f.num").alias("number_value"), F.col("f.cat").alias("text_value"))

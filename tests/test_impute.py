@@ -74,3 +74,9 @@ def test_quantiles_from_frequencies(rows, tuples):
     got = {r["k"]: r for r in quantiles(t, ["k"], "v", "n", {"a": 0.25, "b": 0.5, "c": 0.75}).collect()}
     assert [got["g"][x] for x in "abc"] == np.percentile(v, [25, 50, 75]).tolist()
     assert got["h"]["b"] == 4.0
+
+
+def test_features_of_any_name(rows):
+    t = rows([(1, 2.0, "x", 1), (2, None, None, 1)], "id long, _k double, feature string, g int")
+    got = fill_missing(t, "id", numeric={"id": F.col("_k"), "_k": F.col("_k")}, categorical={"feature": F.col("feature")}, groups=[("g", F.col("g"))], clusters=1)
+    assert sorted((r["column_name"], r["number_value"], r["text_value"]) for r in got.collect()) == [("_k", 2.0, None), ("feature", None, "x"), ("id", 2.0, None)]
