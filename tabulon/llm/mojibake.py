@@ -105,11 +105,12 @@ class Garble:
         self.enter, self.stay, self.leave, self.keep = math.log(enter), math.log(1 - enter), math.log(leave), math.log(1 - leave)
         self.mixed = mixed
         self._memo: dict[str, float] = {}
+        self._words: dict[str, list] = {}
         self._tables: list[_Bytes] | None = None
         self._pairs, self._neighbours = _filters()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_memo": {}, "_tables": None}
+        return self.__dict__ | {"_memo": {}, "_words": {}, "_tables": None}
 
     def log(self, ch: str) -> float:
         """Log frequency of a character, one in ten of it from its block of 128."""
@@ -131,13 +132,24 @@ class Garble:
         """(state, start, end, text before, gain) of words that another order of letters makes likelier or not."""
         for m in _LETTERS.finditer(text):
             w = m.group()
-            for k, (written, read) in enumerate(_ORDERS):
-                try:
-                    fixed = w.encode(read).decode(written)
-                except (UnicodeEncodeError, UnicodeDecodeError):
-                    continue
-                if fixed.isalpha():
-                    yield len(SINGLE) + 5 + k, m.start(), m.end(), fixed, self.word(fixed) - self.word(w)
+            known = self._words.get(w)
+            if known is None:
+                if len(self._words) > 100_000:
+                    self._words.clear()
+                known = self._words[w] = self._orders(w)
+            for k, fixed, gain in known:
+                yield k, m.start(), m.end(), fixed, gain
+
+    def _orders(self, w: str) -> list[tuple[int, str, float]]:
+        out = []
+        for k, (written, read) in enumerate(_ORDERS):
+            try:
+                fixed = w.encode(read).decode(written)
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            if fixed.isalpha():
+                out.append((len(SINGLE) + 5 + k, fixed, self.word(fixed) - self.word(w)))
+        return out
 
     def segments(self, text: str) -> list[tuple[int, int, int, str]]:
         """(state, start, end, text before it was garbled) of every run that some pair can have made."""

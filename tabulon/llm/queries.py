@@ -51,7 +51,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     issues = table(spark, sf_dir, "cleaning_issues").select("row_id", "name", "note")
-    model = fit([(issues, ["name", "note"])])
+    model = fit([(issues, ["note"])])
     cells = unusual_cells(issues, "row_id", ["name", "note"])
     notes = restore_text(cells, ["original"], model)
     return notes.where(~((F.col("column_name") == "note") & F.col("original_garbled"))).select("row_id", "column_name", "unified")
