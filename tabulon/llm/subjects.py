@@ -32,6 +32,9 @@ LABELLED = 20_000
 #: Fewest sentences that speak for a word of the lexicon.
 LEAST = 5.0
 
+#: Texts read in one go.
+_AT_ONCE = 512
+
 _END = re.compile(r"(?<=[.!?…。！？])[\"'»”“’)\]]*\s+|\n+|(?<=[。！？])")
 _SHORT = re.compile(r"(?:^|[\s(«„“\"'’-])[^\W\d_]{1,2}\.$")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -45,7 +48,7 @@ def sentences(text: str) -> list[str]:
         if not part:
             continue
         held = f"{held} {part}" if held else part
-        if not _SHORT.search(held):
+        if not _SHORT.search(held[-4:]):
             out.append(held)
             held = ""
     if held:
@@ -86,30 +89,39 @@ class Lexicon:
         return [row[w] for w in found if w in row]
 
 
-def read_document(lexicon: Lexicon, text: str, rounds: int = 3) -> tuple[list[set[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """(words of each sentence, posterior by the words alone, posterior with the document's mixture as prior, subject words).
+Reading = tuple[list[set[str]], np.ndarray, np.ndarray, np.ndarray]
+
 
-    Rows of sentences without subject words are 0.
+def read_documents(lexicon: Lexicon, texts: Sequence[str | None], rounds: int = 3) -> list[Reading]:
+    """Per text: (words of each sentence, posterior by the words alone, posterior with the document's mixture as prior, subject words).
+
+    Rows of sentences without subject words are 0. All texts are worked on at once.
     """
-    found = [words(s) for s in sentences(text)]
-    rows = [lexicon.rows(w) for w in found]
-    known = np.array([len(r) for r in rows], int)
     k = len(lexicon.subjects) - 1
-    alone, post = np.zeros((len(found), k)), np.zeros((len(found), k))
+    found = [[words(s) for s in sentences(t)] if t else [] for t in texts]
+    rows = [lexicon.rows(w) for doc in found for w in doc]
+    known = np.array([len(r) for r in rows], int)
+    ends = np.cumsum([0, *map(len, found)])
+    alone, post = np.zeros((len(rows), k)), np.zeros((len(rows), k))
     at = np.flatnonzero(known)
     if len(at):
-        scores = np.array([lexicon.llr[rows[i]].sum(axis=0) for i in at])
-        mixture = lexicon.prior
+        flat = np.fromiter((r for rs in rows for r in rs), int, int(known.sum()))
+        starts = np.cumsum(known[at]) - known[at]
+        scores = np.add.reduceat(lexicon.llr[flat].astype(float), starts, axis=0)
+        doc = np.searchsorted(ends, at, side="right") - 1
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+        which = np.cumsum(np.concatenate(([False], doc[1:] != doc[:-1])))
+        mixture = np.tile(lexicon.prior, (len(first), 1))
         for n in range(rounds):
-            x = scores + np.log(mixture)
+            x = scores + np.log(mixture)[which]
             x = np.exp(x - x.max(axis=1, keepdims=True))
             x /= x.sum(axis=1, keepdims=True)
             if not n:
                 alone[at] = x
-            mixture = x.sum(axis=0) + lexicon.prior
-            mixture /= mixture.sum()
+            mixture = np.add.reduceat(x, first, axis=0) + lexicon.prior
+            mixture /= mixture.sum(axis=1, keepdims=True)
         post[at] = x
-    return found, alone, post, known
+    return [(f, alone[a:b], post[a:b], known[a:b]) for f, a, b in zip(found, ends, ends[1:])]
 
 
 def seed_lexicon(texts: Sequence[str], labels: Sequence[set[str]], subjects: Sequence[str]) -> Lexicon:
@@ -135,33 +147,31 @@ def word_counts(lexicon: Lexicon, texts: Sequence[str | None], parallel: Sequenc
     """
     k = len(lexicon.subjects) - 1
     counts: dict[str, list[float]] = defaultdict(lambda: [0.0] * (k + 1))
-    for text, other in zip(texts, parallel):
-        if not text:
-            continue
-        found, _, post, known = read_document(lexicon, text)
-        best, sure = post.argmax(axis=1).tolist() if k else [], post.max(axis=1).tolist()
-        told, asked = k, False
-        for w, b, p, n in zip(found, best, sure, known.tolist()):
-            if n:
-                for x in w:
-                    if n > 1 or x not in lexicon.row:
-                        counts[x][b] += p
-            else:
-                if not asked:
-                    asked, told = True, _one_subject(lexicon, other)
-                for x in w:
-                    counts[x][told] += 1.0
+    for part in range(0, len(texts), _AT_ONCE):
+        read = read_documents(lexicon, texts[part : part + _AT_ONCE])
+        # Parallel texts are only read where a sentence has no subject words.
+        asks = [bool(len(known)) and not known.all() for _, _, _, known in read]
+        others = parallel[part : part + _AT_ONCE]
+        told = iter(_one_subject(k, r) for r in read_documents(lexicon, [o for o, a in zip(others, asks) if a]))
+        for (found, _, post, known), ask in zip(read, asks):
+            other = next(told) if ask else k
+            best, sure = post.argmax(axis=1).tolist(), post.max(axis=1, initial=0.0).tolist()
+            for w, b, p, n in zip(found, best, sure, known.tolist()):
+                if n:
+                    for x in w:
+                        if n > 1 or x not in lexicon.row:
+                            counts[x][b] += p
+                else:
+                    for x in w:
+                        counts[x][other] += 1.0
     return counts
 
 
-def _one_subject(lexicon: Lexicon, text: str | None) -> int:
-    """The subject of four in five of a text's sentences that have one; the place of "none" if there is no such."""
-    k = len(lexicon.subjects) - 1
-    if not text:
-        return k
-    _, _, post, known = read_document(lexicon, text)
+def _one_subject(k: int, read: Reading) -> int:
+    """The subject of four in five of a text's sentences that have one, if half have; the place of "none" if there is no such."""
+    _, _, post, known = read
     n = post[known > 0].sum(axis=0)
-    return int(n.argmax()) if n.sum() and n.max() >= 0.8 * n.sum() and 2 * (known > 0).sum() >= len(known) else k
+    return int(n.argmax()) if len(known) and n.sum() and n.max() >= 0.8 * n.sum() and 2 * (known > 0).sum() >= len(known) else k
 
 
 def fit_lexicon(
@@ -265,17 +275,17 @@ def subjects_of(
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in b.column(1).to_pylist():
-                if not t:
-                    rows.append(([], [], [], []))
-                    continue
-                _, alone, post, known = read_document(lexicon, t)
-                kind = np.where(known == 0, 2, np.where(alone.max(axis=1, initial=0.0) >= 0.9, 0, 1)).tolist()
-                lead = [none if k == 2 else int(p) for k, p in zip(kind, np.where(np.array(kind) == 0, alone.argmax(axis=1), post.argmax(axis=1)))] if len(known) else []
-                open_to = [int(m) if k == 1 else 0 for k, m in zip(kind, (alone >= 0.05) @ (1 << np.arange(none)))]
-                section = [x if x >= 0 and m >> x & 1 else -1 for x, m in zip(_section(lead), open_to)]
-                rows.append((lead, kind, section, open_to))
+            rows, texts = [], b.column(1).to_pylist()
+            for part in range(0, len(texts), _AT_ONCE):
+                for _, alone, post, known in read_documents(lexicon, texts[part : part + _AT_ONCE]):
+                    if not len(known):
+                        rows.append(([], [], [], []))
+                        continue
+                    kind = np.where(known == 0, 2, np.where(alone.max(axis=1) >= 0.9, 0, 1))
+                    lead = np.where(kind == 2, none, np.where(kind == 0, alone.argmax(axis=1), post.argmax(axis=1))).tolist()
+                    open_to = np.where(kind == 1, (alone >= 0.05) @ (1 << np.arange(none)), 0).tolist()
+                    section = [x if x >= 0 and m >> x & 1 else -1 for x, m in zip(_section(lead), open_to)] if any(open_to) else [-1] * len(lead)
+                    rows.append((lead, kind.tolist(), section, open_to))
             lists = [pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), *lists], ["id", "address", "source", "lead", "kind", "section", "open"])
 
