@@ -95,13 +95,17 @@ class Forms:
         if len(found) < 2:
             return word
         for target in sorted(found, key=lambda s: (-found[s], s)):
-            new = "".join(
-                c if self.script_of(c) in ("", target) else self.alike.get((self.script_of(c), target), {}).get(c, c) for c in word
-            )
+            new = "".join(c if self.script_of(c) in ("", target) else self._as(c, target) for c in word)
             if len({s for s in map(self.script_of, new) if s}) == 1:
                 return new
         return word
 
+    def _as(self, ch: str, target: str) -> str:
+        """A letter's look-alike in another script, accents kept; the letter itself if there is none."""
+        table = self.alike.get((self.script_of(ch), target), {})
+        base, *marks = unicodedata.normalize("NFD", ch)
+        return unicodedata.normalize("NFC", table[base] + "".join(marks)) if base in table else ch
+
     def normal(self, text: str, fold: bool = True) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", "".join(map(self.plain_of, text)))

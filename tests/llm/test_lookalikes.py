@@ -28,6 +28,7 @@ def test_normal_form(forms):
     assert forms.normal("Ｔáx ​5") == "táx 5"
     assert forms.normal("pаypаl") == "paypal"
     assert forms.normal("Mушюв") == "мушюв"
+    assert forms.normal("n\u04e7tig") == "nötig"
     assert forms.normal("Straße “X” – Y") == "strasse “x” – y"
     assert forms.normal("Ångström") == "ångström"
 
