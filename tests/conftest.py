@@ -15,6 +15,8 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.default.parallelism", "2")
+        .config("spark.sql.codegen.wholeStage", "false")  # tiny tables: compiling would take most of the time
+        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.driver.memory", "4g")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
