@@ -393,6 +393,24 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return knn_weights(coordinates(_supplier(spark, d), "id", "x", "y", "projected"), 8)
 
 
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """The usable rows of spatial_analysis: complete, with coordinates on the globe."""
+    t = table(spark, d, "spatial_analysis").where("longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90")
+    return t.select("point_id", "longitude", "latitude", "income", "density", "outcome").dropna()
+
+
+def _numbered_points(spark: SparkSession, d: str) -> DataFrame:
+    return number_rows(_points(spark, d), "point_id").drop("point_id")
+
+
+def _point_weights(spark: SparkSession, d: str, k: int = 8) -> DataFrame:
+    return knn_weights(coordinates(_points(spark, d), "point_id", "longitude", "latitude", "geographic"), k)
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return _points(spark, d).select(F.col("point_id").alias("id"), F.col("outcome").alias("value"))
+
+
 @query(f"{_EDGES} SELECT i, j, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM e")
 def knn_edges(spark, d):
     e = nearest(coordinates(_supplier(spark, d), "id", "x", "y", "projected"), 8)
@@ -447,7 +465,43 @@ def moran_moments(spark, d):
 
 @query()
 def moran_permutations(spark, d):
-    return permuted(cut(_edges(spark, d)), _supplier(spark, d).select("id", F.col("v").alias("value")))
+    return permuted(cut(_point_weights(spark, d)), _outcomes(spark, d))
+
+
+@query()
+def points_row_standardised(spark, d):
+    return row_standardised(_point_weights(spark, d))
+
+
+@query()
+def points_bisquare(spark, d):
+    from pyspark.sql import Window
+
+    e = nearest(coordinates(_points(spark, d), "point_id", "longitude", "latitude", "geographic"), 8)
+    f = F.max("distance").over(Window.partitionBy("i"))
+    return e.select("i", "j", F.when(f <= 0, 1.0).otherwise(F.pow(1 - F.pow(F.col("distance") / f, 2), 2)).alias("w"))
+
+
+@query()
+def points_lag(spark, d):
+    return lag(_point_weights(spark, d), _outcomes(spark, d), ["value"])
+
+
+@query()
+def points_moran(spark, d):
+    return moran_i(cut(_point_weights(spark, d)), _outcomes(spark, d))
+
+
+@query()
+def points_moments(spark, d):
+    s = weight_sums(cut(_point_weights(spark, d)))
+    return spark.createDataFrame([(s["s1"], s["s2"], normal_moments(_points(spark, d).count(), s)[1])], "s1 double, s2 double, variance double")
+
+
+@query()
+def points_components(spark, d):
+    ids = _points(spark, d).select(F.col("point_id").alias("id"))
+    return components(_point_weights(spark, d, 2), ids)
 
 
 @query(
@@ -486,7 +540,7 @@ def knn_points(spark, d):
 
 
 def _spatial(spark: SparkSession, d: str, method: str) -> dict:
-    return analyze_spatial(_numbered_supplier(spark, d), method, "x", "y", "t", ["n", "u"], kind="projected", neighbors=8)
+    return analyze_spatial(_numbered_points(spark, d), method, "longitude", "latitude", "outcome", ["income", "density"])
 
 
 @query()
@@ -513,7 +567,8 @@ def lm_tests(spark, d):
 
 @query()
 def gwr_local(spark, d):
-    return _spatial(spark, d, "gwr")["gwr"]["local"]
+    # spatial_analysis has more rows than the reference admits to GWR.
+    return analyze_spatial(_numbered_supplier(spark, d), "gwr", "x", "y", "t", ["n", "u"], kind="projected", neighbors=8)["gwr"]["local"]
 
 
 @query()
@@ -529,12 +584,12 @@ def report_summary(spark, d):
 
 
 def _forest(spark: SparkSession, d: str, **options) -> dict:
-    return fit_forest(_numbered_supplier(spark, d), "x", "y", "t", ["n", "u", "v"], 30, kind="projected", trees=20, depth=5, split=5, **options)
+    return fit_forest(_numbered_points(spark, d), "longitude", "latitude", "outcome", ["income", "density"], 30, **options)
 
 
 @query()
 def forest_local(spark, d):
-    return _forest(spark, d, shap=True, interactions=True, interaction_columns=["n", "u"])["local"]
+    return _forest(spark, d, shap=True, interactions=True, interaction_columns=["income", "density"])["local"]
 
 
 @query()
@@ -545,13 +600,13 @@ def forest_importance(spark, d):
 
 @query()
 def forest_bandwidth(spark, d):
-    r = tune_bandwidth(_numbered_supplier(spark, d), "x", "y", "t", ["n", "u", "v"], [20, 40], kind="projected", trees=10, depth=5, split=5)
+    r = tune_bandwidth(_numbered_points(spark, d), "longitude", "latitude", "outcome", ["income", "density"], [20, 40])
     return spark.createDataFrame([(x["bandwidth"], x["loocv_rmse"], x["bandwidth"] == r["best_bandwidth"]) for x in r["search_results"]], "bandwidth int, loocv_rmse double, best boolean")
 
 
 @query()
 def forest_grid(spark, d):
-    r = tune_parameters(_numbered_supplier(spark, d), "t", ["n", "u", "v"], trees=20, depth=5, split=5)
+    r = tune_parameters(_numbered_points(spark, d), "outcome", ["income", "density"])
     return spark.createDataFrame([tuple(x.values()) for x in r["search_results"]], "n_estimators int, max_depth int, min_samples_split int, cv_rmse double, rank int")
 
 
