@@ -9,6 +9,7 @@ whole group (the parent), else likewise of the next group.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import reduce
 
@@ -19,9 +20,15 @@ from tabulon.errors import EngineError
 from tabulon.runtime import cut, quantiles, quoted
 
 
+#: Lloyd rounds after which fitting ends with a warning if prototypes still move.
+ROUNDS = 200
+
+
 class Prototypes:
     """Fitted prototypes: one dictionary of feature values per cluster, and the numeric scales."""
 
+    converged = False
+
     def __init__(self, rows: list[dict], scales: dict[str, float], categorical: Sequence[str], gamma: float):
         self.rows, self.scales, self.categorical, self.gamma = rows, scales, categorical, gamma
 
@@ -42,12 +49,13 @@ class Prototypes:
 
 
 def fit_prototypes(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, clusters: int = 8, rounds: int = 4, gamma: float = 1.0
+    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, clusters: int = 8, rounds: int = ROUNDS, gamma: float = 1.0
 ) -> Prototypes:
     """Lloyd rounds over all rows, one aggregation each; ``clusters`` rows come back to the driver.
 
     Starts from prototypes spread along the first numeric feature's range and the most frequent
-    categories. An empty cluster keeps its prototype. Without rows there is one prototype of nulls.
+    categories, and ends when no prototype moves, or with a warning after ``rounds``. An empty cluster
+    keeps its prototype. Without rows there is one prototype of nulls.
     """
     if clusters < 1 or rounds < 0:
         raise EngineError("At least one cluster and no negative number of rounds.")
@@ -90,9 +98,18 @@ def fit_prototypes(
             for c in categorical:
                 if r[f"mode_{c}"] is not None:
                     new[r["_k"]][c] = r[f"mode_{c}"]["v"]
-        if new == model.rows:
+        # Sums of the same rows differ in their last digits with the order of the tasks.
+        still = all(
+            (p[c] is None and q[c] is None) or (p[c] is not None and q[c] is not None and abs(p[c] - q[c]) <= 1e-9 * scales[c])
+            for p, q in zip(new, model.rows)
+            for c in numeric
+        ) and all(p[c] == q[c] for p, q in zip(new, model.rows) for c in categorical)
+        if still:
+            model.converged = True
             break
         model = Prototypes(new, scales, categorical, gamma)
+    if not model.converged:
+        warnings.warn(f"The prototypes still moved after {rounds} rounds.", stacklevel=2)
     return model
 
 
@@ -115,7 +132,7 @@ def fill_missing(
     categorical: dict[str, Column],
     groups: Sequence[tuple[str, Column]],
     clusters: int = 8,
-    rounds: int = 4,
+    rounds: int = ROUNDS,
     gamma: float = 1.0,
 ) -> DataFrame:
     """(id, column_name, filled_from, method, number_value, text_value): one row per missing cell that can be filled.
