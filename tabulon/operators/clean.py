@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.errors import EngineError
 from tabulon.functions.text import collapse_breaks, is_missing, is_number_type, number, strip
+from tabulon.operators.guards import known, require
 from tabulon.operators.rows import ROW, data_columns
 from tabulon.runtime import quoted
 
@@ -91,13 +91,13 @@ def scaling_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _check(df: DataFrame, columns: Sequence[str]) -> None:
-    if not columns:
-        raise EngineError("Select at least one numeric column to scale.")
-    if len(set(columns)) < len(columns):
-        raise EngineError("Each selected column must be unique.")
-    for c in columns:
-        if c not in df.columns:
-            raise EngineError(f"Column '{c}' does not exist.")
+    require(
+        [
+            (bool(columns), "No column to scale was given."),
+            (len(set(columns)) == len(columns), "A column was chosen more than once."),
+            *((c in df.columns, f"The table has no column '{c}'.") for c in columns),
+        ]
+    )
 
 
 def scale(df: DataFrame, columns: Sequence[str], method: str) -> tuple[DataFrame, list[dict]]:
@@ -106,16 +106,13 @@ def scale(df: DataFrame, columns: Sequence[str], method: str) -> tuple[DataFrame
     One aggregation, one row to the driver, then literals in a projection. Constant columns become
     0; missing cells stay null.
     """
-    if method not in SCALINGS:
-        raise EngineError(f"Unknown scaling '{method}'.")
+    require([known("Scaling", method, SCALINGS)])
     if method == "none":
         return df, []
     stats = [r.asDict() for r in scaling_statistics(df, columns).collect()]
     for r in stats:
-        if r.pop("invalid"):
-            raise EngineError(f"Column '{r['column_name']}' contains non-numeric values and cannot be scaled.")
-        if r["minimum"] is None:
-            raise EngineError(f"Column '{r['column_name']}' has no numeric values to scale.")
+        name, odd = r["column_name"], r.pop("invalid")
+        require([(not odd, f"Column '{name}' holds {odd} cells that are no numbers."), (r["minimum"] is not None, f"Column '{name}' holds no numbers.")])
     types = dict(df.dtypes)
     by = {r["column_name"]: r for r in stats}
     out = []
@@ -138,8 +135,7 @@ def clean(
     dropped rows. The summary takes two aggregations; the extracted rows' numbers are a column of
     ``extracted``, not a list.
     """
-    if action not in ACTIONS:
-        raise EngineError(f"Unknown action '{action}'.")
+    require([known("Action", action, ACTIONS)])
     affected = df.agg(F.count_if(any_missing(df)).alias("n")).first()["n"]
     kept, extracted = df, df.limit(0)
     if action == "drop_rows":

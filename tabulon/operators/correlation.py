@@ -7,8 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.errors import EngineError
 from tabulon.functions.special import finite, t_two_sided
+from tabulon.operators.guards import enough, known, require, varying
 from tabulon.operators.numeric import Prepared, prepare
 from tabulon.runtime import cut, quoted
 
@@ -46,16 +46,10 @@ def correlation_p(r: float, n: int) -> float:
 
 
 def correlate(df: DataFrame, method: str, dependent: str, independent: list[str]) -> dict:
-    if method not in METHODS:
-        raise EngineError(f"Unknown correlation '{method}'.")
-    if len(independent) != 1:
-        raise EngineError("Pearson and Spearman require exactly two columns.")
+    require([known("Correlation", method, METHODS), (len(independent) == 1, f"A correlation is between two columns, not {1 + len(independent)}.")])
     (x,) = independent
     p: Prepared = prepare(df, [dependent, x])
-    if p.observations < 3:
-        raise EngineError("At least 3 complete observations are required.")
-    if p.constant(dependent) or p.constant(x):
-        raise EngineError("Correlation is undefined for a constant column.")
+    require([enough(p.observations, 3), *varying(p, [dependent, x], "Column")])
     if method == "pearson":
         r = p.df.agg(F.corr(quoted(x), quoted(dependent)).alias("r")).first()["r"]
     else:

@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from tabulon.errors import EngineError
 from tabulon.functions.special import finite, normal_two_sided
 from tabulon.functions.sphere import haversine
+from tabulon.operators.guards import enough, require
 
 MAX_ROWS = 5_000
-_FAILED = "The regression could not be estimated. Check repeated coordinates, scaling, collinearity and sample size."
+_FAILED = "A local fit has no solution: its rows share a position, its columns repeat one another, or there are too few."
 
 
 def bisquare(d: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -102,11 +103,10 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
     spark = rows.sparkSession
     n = rows.count()
     if n > max_rows:
-        raise EngineError(f"Limited to {max_rows} complete observations.")
+        raise EngineError(f"Geographically weighted regression takes at most {max_rows} complete rows, not {n}.")
     k = len(independent) + 1
     low = max(2 * k + 1, 5)
-    if n <= low:
-        raise EngineError(f"More than {low} complete observations are required.")
+    require([enough(n, low + 1)])
     data = rows.orderBy("id").toPandas()
     ids = data["id"].to_numpy()
     parts = (data[[x, y]].to_numpy(float), data[list(independent)].to_numpy(float), data[dependent].to_numpy(float), spherical)
@@ -190,6 +190,7 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
     frame = pd.DataFrame(table)
     frame = frame.astype(object).where(frame.apply(lambda c: np.isfinite(c.astype(float))), None)
     schema = "id long, source_row long, " + ", ".join(f"`{c}` double" for c in list(table)[2:])
+    local_rows = spark.createDataFrame(frame, schema)
     r2 = 1 - rss / tss if tss > 0 else math.nan
     ll = -n / 2 * (math.log(2 * math.pi) + 1 + math.log(rss / n)) if rss > 0 else math.inf
     return {
@@ -202,8 +203,10 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
             "aicc": finite(_aicc(n, rss, tr)),
         },
         "coefficient_summaries": summaries,
-        "local": spark.createDataFrame(frame, schema),
+        "local": local_rows,
+        "converged": True,
         "inference": tuple(arrays),
+        "residuals": local_rows.select("id", F.col("residual").alias("value")),
     }
 
 

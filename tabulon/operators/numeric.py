@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.errors import EngineError
 from tabulon.functions.text import is_missing, number
+from tabulon.operators.guards import require
 from tabulon.operators.rows import ROW, SOURCE_ROW
 from tabulon.runtime import quoted
 
@@ -57,11 +57,7 @@ def prepare(df: DataFrame, columns: Sequence[str], *, finite: bool = True) -> Pr
 
     With ``finite``, infinite values are an error too. Figures are those of the complete cases.
     """
-    if len(set(columns)) < len(columns):
-        raise EngineError("Each selected column must be unique.")
-    for c in columns:
-        if c not in df.columns:
-            raise EngineError(f"Column '{c}' does not exist.")
+    require([(len(set(columns)) == len(columns), "A column was chosen more than once."), *((c in df.columns, f"The table has no column '{c}'.") for c in columns)])
     types = dict(df.dtypes)
     values = {c: number(quoted(c), types[c]) for c in columns}
     whole = None
@@ -76,10 +72,7 @@ def prepare(df: DataFrame, columns: Sequence[str], *, finite: bool = True) -> Pr
             *[f(v).alias(f"{n}{i}") for n, f in (("min", F.min), ("max", F.max), ("avg", F.avg), ("std", F.stddev_pop))],
         ]
     r = df.agg(*aggs).first()
-    for i, c in enumerate(columns):
-        if r[f"b{i}"]:
-            raise EngineError(f"Column '{c}' contains non-numeric values.")
-        if finite and r[f"i{i}"]:
-            raise EngineError("Selected columns contain infinite values.")
+    require([(not r[f"b{i}"], f"Column '{c}' holds {r[f'b{i}']} cells that are no numbers.") for i, c in enumerate(columns)])
+    require([(not (finite and r[f"i{i}"]), f"Column '{c}' holds infinite values.") for i, c in enumerate(columns)])
     stats = {c: {n: r[f"{n}{i}"] for n in ("min", "max", "avg", "std")} for i, c in enumerate(columns)}
     return Prepared(complete_cases(df, columns), r["kept"], r["rows"] - r["kept"], stats)

@@ -20,7 +20,8 @@ from tabulon.errors import EngineError
 from tabulon.functions.special import digamma, finite, lgamma, normal_two_sided, t_quantile, t_two_sided, trigamma
 from tabulon.operators.correlation import METHODS as CORRELATIONS
 from tabulon.operators.correlation import correlate
-from tabulon.operators.design import cross_products, design_diagnostics, finalise
+from tabulon.operators.design import cross_products, design_diagnostics, judged
+from tabulon.operators.guards import enough, known, predictors, require, varying
 from tabulon.operators.numeric import Prepared, prepare
 from tabulon.runtime import quoted
 
@@ -279,29 +280,18 @@ def _negative_binomial(d: Design, iterations: int) -> dict:
 
 def regress(df: DataFrame, method: str, dependent: str, independent: list[str], iterations: int = 200) -> dict:
     """Result document of a regression; see the module's text. Errors name the first condition that fails."""
-    if method not in METHODS:
-        raise EngineError(f"Unknown method '{method}'.")
-    if not independent:
-        raise EngineError("Select at least one independent variable.")
-    if dependent in independent:
-        raise EngineError("The dependent variable cannot also be an independent variable.")
+    require([known("Method", method, METHODS), *predictors(dependent, independent)])
     p = prepare(df, [dependent, *independent])
-    if p.observations < len(independent) + 3:
-        raise EngineError(f"At least {len(independent) + 3} complete observations are required.")
-    for c in independent:
-        if p.constant(c):
-            raise EngineError(f"Independent variable '{c}' is constant.")
+    require([enough(p.observations, len(independent) + 3), *varying(p, independent)])
     y = quoted(dependent)
     mapping, low = None, 0.0
     if method == "negative_binomial":
-        bad = p.df.agg(F.count_if((y < 0) | (y % 1 != 0)).alias("n")).first()["n"]
-        if bad:
-            raise EngineError("Negative binomial regression requires non-negative integer counts.")
+        odd = p.df.agg(F.count_if((y < 0) | (y % 1 != 0)).alias("n")).first()["n"]
+        require([(not odd, f"The response of a count model holds {odd} values that are negative or not whole; counts are non-negative.")])
     elif method == "logistic":
         s = p.stats[dependent]
-        other = p.df.agg(F.count_if((y != F.lit(s["min"])) & (y != F.lit(s["max"]))).alias("n")).first()["n"]
-        if other or p.constant(dependent):
-            raise EngineError("Logistic regression requires exactly two outcome values.")
+        between = p.df.agg(F.count_if((y > F.lit(s["min"])) & (y < F.lit(s["max"]))).alias("n")).first()["n"]
+        require([(not between and not p.constant(dependent), "The response of a logistic model must have exactly two values.")])
         low = s["min"]
         whole = dict(df.dtypes)[dependent] in ("tinyint", "smallint", "int", "bigint")
         text = lambda v: str(int(v)) if whole else str(v)
@@ -332,7 +322,7 @@ def regress(df: DataFrame, method: str, dependent: str, independent: list[str],
         "independent_columns": independent,
         "correlation": None,
         "regression": {"coefficients": fit["rows"], "metrics": fit["metrics"], "binary_mapping": mapping},
-        "diagnostics": finalise(diagnostics, converged=fit["converged"], inference=fit["inference"]),
+        "diagnostics": judged(diagnostics, fit),
     }
 
 

@@ -1,8 +1,10 @@
 """Spatial lag, error and Durbin models, diagnostics of their least-squares baseline, and impacts.
 
 Rows are reduced to one matrix of cross-products of the columns and their spatial lags; every
-likelihood, residual sum and test is a quadratic form in it. Only ln|I - rho W| needs the graph: by the
-eigenvalues of W up to ``DENSE_ROWS`` observations, by estimated traces of its powers beyond.
+likelihood, residual sum and test is a quadratic form in it. Only ln|I - rho W| and the traces of the
+information matrix need the graph: exactly, by the eigenvalues and the inverse, up to ``DENSE_ROWS``
+observations; beyond by the power series of W, whose traces are estimated with random signs and which is
+carried on until what is left out is below ``TOLERANCE``. The result says which, with its error.
 """
 
 from __future__ import annotations
@@ -17,12 +19,16 @@ from pyspark.sql import functions as F
 from tabulon.errors import EngineError
 from tabulon.functions.special import chi2_sf, finite, normal_two_sided
 from tabulon.operators.design import cross_products
+from tabulon.operators.graph import Graph
 from tabulon.operators.moran import weight_sums
 from tabulon.operators.weights import lag
 from tabulon.runtime import cut, quoted
 
 #: Most observations for which W is held as a matrix on the driver (8 bytes a pair).
 DENSE_ROWS = 3_000
+#: Most that the rest of the power series may add to the log-likelihood at the maximum, and the terms tried for it.
+TOLERANCE = 0.01
+TERMS = (32, 128, 512, 2048)
 MODELS = ("slm", "sem", "sdm")
 
 
@@ -87,35 +93,89 @@ class LagFrame:
 
 
 class LogDet:
-    """ln|I - rho W| as a function of rho, and W itself where it is small enough."""
-
-    def __init__(self, edges: DataFrame, ids: DataFrame, n: int, *, terms: int = 24, probes: int = 16):
-        self.n, self.w, self.omega, self.traces = n, None, None, None
-        if n <= DENSE_ROWS:
-            order = ids.select("id").orderBy("id").toPandas()["id"].to_numpy()
-            e = edges.select("i", "j", "w").toPandas()
-            self.ids = order
-            self.w = np.zeros((n, n))
-            self.w[np.searchsorted(order, e["i"].to_numpy()), np.searchsorted(order, e["j"].to_numpy())] = e["w"].to_numpy()
+    """ln|I - rho W| as a function of rho, its error, and the traces that the information matrix needs."""
+
+    def __init__(self, graph: Graph, *, dense: int = DENSE_ROWS):
+        self.graph, self.n = graph, graph.n
+        self.w = self.omega = self.traces = None
+        if self.n <= dense and graph.held is not None:
+            g = graph.held
+            self.w = np.zeros((self.n, self.n))
+            rows = np.repeat(np.arange(self.n), g.degree) if g.degree is not None else g.i
+            self.w[rows, g.j] = g.w
             self.omega = np.linalg.eigvals(self.w)
         else:
-            # Hutchinson's estimate: random signs v, tr(W^k) ~ mean of v'W^k v; the first two traces are exact.
-            names = [f"v{p}" for p in range(probes)]
-            sign = lambda p: F.when(F.xxhash64(F.lit(p), F.col("id")).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
-            v0 = ids.select("id", *[sign(p).alias(n) for p, n in enumerate(names)])
-            v, found = v0, []
-            for _ in range(terms):
-                v = cut(lag(edges, v, names, ""))
-                r = v.join(v0.select("id", *[F.col(c).alias(f"s{c}") for c in names]), "id").agg(*[F.sum(F.col(c) * F.col(f"s{c}")).alias(c) for c in names]).first()
-                found.append(sum(r) / probes)
-            found[0], found[1] = 0.0, weight_sums(edges)["tr_ww"]
-            self.traces = np.array(found)
+            self.tr_ww = weight_sums(graph.edges)["tr_ww"]
+            self._carry_on(TERMS[0])
+
+    def _carry_on(self, terms: int) -> None:
+        each, self.norm = self.graph.traces(terms)
+        each[:, 0], each[:, 1] = 0.0, self.tr_ww  # both are known
+        self.each, self.traces = each, each.mean(axis=0)
+        self.rest = max(0.0, float(self.traces[-2:].mean()))
 
     def __call__(self, rho: float) -> float:
         if self.omega is not None:
             return float(np.log(np.abs(1.0 - rho * self.omega)).sum())
+        return self._series(rho, self.traces) - self.rest * self._left(rho)
+
+    def _series(self, rho: float, traces: np.ndarray) -> float:
+        k = np.arange(1, len(traces) + 1)
+        return float(-(rho**k * traces / k).sum())
+
+    def _left(self, rho: float) -> float:
+        """The sum of rho^k / k after the terms."""
         k = np.arange(1, len(self.traces) + 1)
-        return float(-(rho**k * self.traces / k).sum())
+        return -math.log1p(-rho) - float((rho**k / k).sum())
+
+    def remainder(self, rho: float) -> float:
+        """Bound on what the terms leave out: for k >= 2p, |tr(W^k)| <= |W^p|^2 by Weyl's inequality, as no eigenvalue exceeds 1."""
+        m, r = len(self.traces), abs(rho)
+        return self.norm * r ** (m + 1) / ((m + 1) * (1.0 - r))
+
+    def settled(self, rho: float) -> bool:
+        """Is the remainder at ``rho`` small enough? If not, and if there are more terms to try, they are computed."""
+        if self.omega is not None or self.remainder(rho) <= TOLERANCE or len(self.traces) >= TERMS[-1]:
+            return True
+        self._carry_on(next(t for t in TERMS if t > len(self.traces)))
+        return False
+
+    def spread(self, rho: float, x: DataFrame | None = None, names: Sequence[str] = (), beta: np.ndarray | None = None) -> tuple:
+        """(tr G, tr GG, |G|^2, Z'p, p'p) for G = W (I - rho W)^-1 and p = G Z beta."""
+        if self.w is not None:
+            g = self.w @ np.linalg.inv(np.eye(self.n) - rho * self.w)
+            zp, pp = np.empty(0), 0.0
+            if x is not None:
+                z = x.select("id", *names).orderBy("id").toPandas()[list(names)].to_numpy()
+                p = g @ (z @ beta)
+                zp, pp = z.T @ p, float(p @ p)
+            return float(np.trace(g)), float(np.sum(g * g.T)), float(np.sum(g * g)), zp, pp
+        t, m = self.traces, len(self.traces)
+        k = np.arange(m)
+        once = float((rho**k * t).sum())
+        twice = float(((k[:-1] + 1) * rho ** k[:-1] * t[1:]).sum())
+        return (once, twice, *self.graph.inner(rho, m, x, names, beta))
+
+    def document(self, rho: float) -> dict:
+        """How the log-determinant at ``rho`` was found, and how far off it can be."""
+        if self.omega is not None:
+            return {"method": "eigenvalues", "terms": None, "probes": None, "standard_error": 0.0, "remainder_bound": 0.0}
+        found = [self._series(rho, t) for t in self.each]
+        return {
+            "method": "power_series",
+            "terms": len(self.traces),
+            "probes": len(found),
+            "standard_error": float(np.std(found, ddof=1) / math.sqrt(len(found))),
+            "remainder_bound": self.remainder(rho),
+        }
+
+
+def _settle(det: LogDet, ll: Callable[[float], float]) -> tuple[float, bool]:
+    """The maximum of a likelihood with enough terms of its log-determinant there."""
+    while True:
+        at, inside = maximise(ll)
+        if det.settled(at):
+            return at, inside
 
 
 def maximise(f: Callable[[float], float], low: float = -0.999, high: float = 0.999, tol: float = 1e-10) -> tuple[float, bool]:
@@ -139,15 +199,10 @@ def maximise(f: Callable[[float], float], low: float = -0.999, high: float = 0.9
     return float(x), low + 1e-6 < x < high - 1e-6
 
 
-def _curvature(f: Callable[[float], float], x: float) -> float:
-    h = 1e-4
-    return (f(x + h) - 2 * f(x) + f(x - h)) / (h * h)
-
-
 def _inverse(m: np.ndarray) -> np.ndarray:
     e = np.linalg.eigvalsh(m)
     if not e[0] > 1e-12 * e[-1]:
-        raise EngineError("The spatial model could not be estimated. Check scaling, collinearity and sample size.")
+        raise EngineError("The columns' cross-products cannot be inverted: columns combine or repeat one another, or there are too few rows.")
     return np.linalg.inv(m)
 
 
@@ -168,29 +223,18 @@ def ml_lag(f: LagFrame, det: LogDet, durbin: bool) -> dict:
         # The likelihood of y itself: standardising it divides the density by its scale.
         return -n / 2 * (math.log(2 * math.pi) + 1 + math.log(sse(r) / n)) + det(r) - n * math.log(f.y_scale)
 
-    rho, inside = maximise(ll)
+    rho, inside = _settle(det, ll)
     beta = b0 - rho * bl
     s2 = sse(rho) / n
-    if det.w is not None:
-        order = f.df.select("id", *x).orderBy("id").toPandas()
-        a = np.linalg.inv(np.eye(n) - rho * det.w)
-        wa = det.w @ a
-        pred = det.w @ (a @ (order[x].to_numpy() @ beta))
-        k = len(x)
-        m = np.zeros((k + 2, k + 2))
-        m[:k, :k] = f.g(x, x) / s2
-        m[:k, k] = m[k, :k] = order[x].to_numpy().T @ pred / s2
-        m[k, k] = np.sum(wa * wa.T) + np.sum(wa * wa) + pred @ pred / s2
-        m[k, k + 1] = m[k + 1, k] = np.trace(wa) / s2
-        m[k + 1, k + 1] = n / (2 * s2 * s2)
-        cov = np.linalg.inv(m)[: k + 1, : k + 1]
-    else:
-        k = len(x)
-        var = -1.0 / _curvature(ll, rho)
-        cov = np.zeros((k + 1, k + 1))
-        cov[:k, :k] = s2 * inv + np.outer(bl, bl) * var
-        cov[:k, k] = cov[k, :k] = -bl * var
-        cov[k, k] = var
+    k = len(x)
+    once, twice, norm, xp, pp = det.spread(rho, f.df, x, beta)
+    m = np.zeros((k + 2, k + 2))
+    m[:k, :k] = f.g(x, x) / s2
+    m[:k, k] = m[k, :k] = xp / s2
+    m[k, k] = twice + norm + pp / s2
+    m[k, k + 1] = m[k + 1, k] = once / s2
+    m[k + 1, k + 1] = n / (2 * s2 * s2)
+    cov = np.linalg.inv(m)[: k + 1, : k + 1]
     t = np.eye(k + 1)
     t[:k, :k] = f.transform(k, durbin, 1 - rho)
     t[0, k] = -f.y_mean  # the constant holds (1 - rho) mean(y)
@@ -199,7 +243,7 @@ def ml_lag(f: LagFrame, det: LogDet, durbin: bool) -> dict:
     cov = t @ cov @ t.T
     coef = {"y": 1.0, "w_y": -rho} | {c: -float(b) for c, b in zip(x, beta)}
     names = ["CONSTANT", *f.xs, *(f"W_{c}" for c in f.xs if durbin), f"W_{f.y}"]
-    return _result(f, names, est, cov, ll(rho), len(x) + 1, coef, rho=rho, lam=None, converged=inside)
+    return _result(f, names, est, cov, ll(rho), len(x) + 1, coef, rho=rho, lam=None, converged=inside) | {"log_determinant": det.document(rho)}
 
 
 def ml_error(f: LagFrame, det: LogDet) -> dict:
@@ -219,7 +263,7 @@ def ml_error(f: LagFrame, det: LogDet) -> dict:
         return -n / 2 * (math.log(2 * math.pi) + 1 + math.log(s / n)) + det(la) - n * math.log(f.y_scale)
 
     _inverse(f.g(x, x))
-    la, inside = maximise(ll)
+    la, inside = _settle(det, ll)
     xx, xy, yy = filtered(la)
     inv = _inverse(xx)
     beta = inv @ xy
@@ -227,19 +271,16 @@ def ml_error(f: LagFrame, det: LogDet) -> dict:
     k = len(x)
     cov = np.zeros((k + 1, k + 1))
     cov[:k, :k] = s2 * inv
-    if det.w is not None:
-        wa = det.w @ np.linalg.inv(np.eye(n) - la * det.w)
-        m = np.array([[np.sum(wa * wa.T) + np.sum(wa * wa), np.trace(wa) / s2], [np.trace(wa) / s2, n / (2 * s2 * s2)]])
-        cov[k, k] = np.linalg.inv(m)[0, 0]
-    else:
-        cov[k, k] = -1.0 / _curvature(ll, la)
+    once, twice, norm, _, _ = det.spread(la)
+    m = np.array([[twice + norm, once / s2], [once / s2, n / (2 * s2 * s2)]])
+    cov[k, k] = np.linalg.inv(m)[0, 0]
     t = np.eye(k + 1)
     t[:k, :k] = f.transform(k, False, 1.0)
     est = t @ np.append(beta, la)
     est[0] += f.y_mean
     cov = t @ cov @ t.T
     coef = {"y": 1.0} | {c: -float(b) for c, b in zip(x, beta)}
-    return _result(f, ["CONSTANT", *f.xs, "lambda"], est, cov, ll(la), k, coef, rho=None, lam=la, converged=inside)
+    return _result(f, ["CONSTANT", *f.xs, "lambda"], est, cov, ll(la), k, coef, rho=None, lam=la, converged=inside) | {"log_determinant": det.document(la)}
 
 
 def _result(f: LagFrame, names, est, cov, ll, k, coef, *, rho, lam, converged) -> dict:

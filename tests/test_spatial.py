@@ -9,7 +9,8 @@ from tabulon.operators.moran import moran, weight_sums
 from tabulon.operators.numeric import prepare
 from tabulon.operators.rows import ROW, number_rows
 from tabulon.operators.spatial import analyze_spatial
-from tabulon.operators.spatial_models import LagFrame, LogDet, ml_lag, model_selection, recommend
+from tabulon.operators.graph import Graph
+from tabulon.operators.spatial_models import LagFrame, LogDet, ml_error, ml_lag, model_selection, recommend
 from tabulon.operators.weights import components, coordinates, knn_weights, nearest, row_standardised
 from tabulon.runtime import cut
 
@@ -107,22 +108,31 @@ def test_lag_model_impacts_and_selection(table):
     assert s["tests"][4]["statistic"] == pytest.approx(want[0] + want[3])
 
 
-def test_estimated_log_determinant(table, monkeypatch):
-    from tabulon.operators import spatial_models as M
-
+def test_estimated_log_determinant(table):
     p = prepare(table, ["xc", "yc", "y", "x1", "x2"])
     rows = cut(p.df.withColumn("id", p.df[ROW]))
     edges = cut(knn_weights(coordinates(rows, "id", "xc", "yc", "projected"), 4))
     frame = LagFrame(rows, edges, "y", ["x1", "x2"], p.stats, 36)
-    exact = LogDet(edges, rows, 36)
-    monkeypatch.setattr(M, "DENSE_ROWS", 10)
-    estimated = LogDet(edges, rows, 36, terms=8, probes=16)
-    assert estimated(0.4) == pytest.approx(exact(0.4), abs=0.4)
-    a, b = ml_lag(frame, exact, False), ml_lag(frame, estimated, False)
-    assert a["metrics"]["rho"] == pytest.approx(b["metrics"]["rho"], abs=0.05)
+    exact, series = LogDet(Graph(edges, rows)), LogDet(Graph(edges, rows), dense=10)
+    assert series(0.4) == pytest.approx(exact(0.4), abs=0.4)
+    assert exact.document(0.4)["method"] == "eigenvalues" and series.document(0.4)["method"] == "power_series"
+    assert series.document(0.4)["remainder_bound"] < 0.01 < series.remainder(0.99)
+    for fit in (lambda d: ml_lag(frame, d, False), lambda d: ml_lag(frame, d, True), lambda d: ml_error(frame, d)):
+        a, b = fit(exact)["coefficients"], fit(series)["coefficients"]
+        assert [c["estimate"] for c in a] == pytest.approx([c["estimate"] for c in b], abs=0.1, rel=0.1)
+        assert [c["standard_error"] for c in a] == pytest.approx([c["standard_error"] for c in b], rel=0.15)
     assert model_selection(frame, weight_sums(edges))["model"] == "slm"
 
 
+def test_terms_are_added_until_the_rest_is_small(table):
+    rows = cut(table.withColumn("id", table[ROW]))
+    det = LogDet(Graph(cut(knn_weights(coordinates(rows, "id", "xc", "yc", "projected"), 4)), rows), dense=10)
+    assert len(det.traces) == 32 and det.settled(0.3)
+    while not det.settled(0.95):
+        pass
+    assert det.remainder(0.95) <= 0.01 and len(det.traces) > 32
+
+
 def test_recommendations():
     assert [recommend(*p) for p in ((0.5, 0.01), (0.01, 0.5), (0.01, 0.01), (0.5, 0.5))] == ["slm", "sem", "sdm", "ols"]
 
