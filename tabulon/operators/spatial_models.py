@@ -20,7 +20,6 @@ from tabulon.errors import EngineError
 from tabulon.functions.special import chi2_sf, finite, normal_two_sided
 from tabulon.operators.design import cross_products
 from tabulon.operators.graph import Graph
-from tabulon.operators.moran import weight_sums
 from tabulon.operators.weights import lag
 from tabulon.runtime import cut, quoted
 
@@ -105,7 +104,7 @@ class LogDet:
             self.w[rows, g.j] = g.w
             self.omega = np.linalg.eigvals(self.w)
         else:
-            self.tr_ww = weight_sums(graph.edges)["tr_ww"]
+            self.tr_ww = graph.sums()["tr_ww"]
             self._carry_on(TERMS[0])
 
     def _carry_on(self, terms: int) -> None:

@@ -67,6 +67,13 @@ def _apart(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarra
     return np.sqrt((gap * gap).sum(axis=-1))
 
 
+def _metric(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    d = np.subtract.outer(x[:, 0], y[:, 0]) ** 2
+    for c in range(1, x.shape[1]):
+        d += np.subtract.outer(x[:, c], y[:, c]) ** 2
+    return np.sqrt(d, out=d)
+
+
 def _near(q: np.ndarray, qid: np.ndarray, p: np.ndarray, pid: np.ndarray, k: int, self_too: bool, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(distances, ids) of the k nearest points of each query, by (distance, id); inf and -1 where there are fewer.
 
@@ -86,7 +93,7 @@ def _near(q: np.ndarray, qid: np.ndarray, p: np.ndarray, pid: np.ndarray, k: int
         x, own = q[mine], qid[mine]
 
         def away(at: np.ndarray) -> np.ndarray:
-            d = np.sqrt(((x[:, None, :] - p[at][None, :, :]) ** 2).sum(axis=2))
+            d = _metric(x, p[at])
             if not self_too:
                 d[own[:, None] == pid[at][None, :]] = np.inf
             return d
@@ -101,7 +108,7 @@ def _near(q: np.ndarray, qid: np.ndarray, p: np.ndarray, pid: np.ndarray, k: int
         at = np.sort(np.concatenate([leaves[i] for i in np.union1d(first, np.flatnonzero(gap <= bound.max() * (1 + 1e-9) + 1e-12))]))
         step = max(1, 4_000_000 // len(at))
         for s in range(0, len(x), step):
-            d = np.sqrt(((x[s : s + step, None, :] - p[at][None, :, :]) ** 2).sum(axis=2))
+            d = _metric(x[s : s + step], p[at])
             if not self_too:
                 d[own[s : s + step, None] == pid[at][None, :]] = np.inf
             m = min(k, len(at))
@@ -181,7 +188,7 @@ class Reach:
         return np.concatenate(rows), np.concatenate(cols)
 
 
-def nearest(points: DataFrame, k: int, *, self_too: bool = False, per_cell: int = 8000, block: int = 24_000) -> DataFrame:
+def nearest(points: DataFrame, k: int, *, self_too: bool = False, per_cell: int = 4000, block: int = 24_000) -> DataFrame:
     """(i, j, distance, rank): the k nearest other points of each, by (distance, id), rank from 1.
 
     ``points`` is (id, a, b, c) with unique ids. With ``self_too`` a point is its own neighbour at
