@@ -9,19 +9,21 @@ whole group (the parent), else likewise of the next group.
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.errors import EngineError
-from tabulon.runtime import cut, quantiles, quoted
+from tabulon.runtime import attach, cut, quantiles, quoted, range_cuts
 
 
 #: Lloyd rounds after which fitting ends with a warning if prototypes still move.
-ROUNDS = 200
+ROUNDS = 2_000
 
 
 class Prototypes:
@@ -48,10 +50,71 @@ class Prototypes:
         return (F.least(*best) if len(best) > 1 else best[0])["k"]
 
 
+#: Most cells of the summary that comes to the driver, and the categories per feature told apart in it.
+CELLS, CATEGORIES = 500_000, 64
+
+
+class _Summary:
+    """All rows as cells: equal bins of each numeric feature, the frequent categories, and what is missing.
+
+    A cell keeps its number of rows and their exact sums, so that prototypes are means over all rows; only the choice
+    between prototypes is made per cell. Cells are at most ``CELLS``, whatever the number of rows.
+    """
+
+    def __init__(self, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]):
+        of = [f(c).alias(f"{n}{i}") for i, c in enumerate(numeric) for n, f in (("m", F.mean), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]
+        r = df.agg(F.count(F.lit(1)).alias("rows"), *of).first()
+        self.scale = np.array([r[f"s{i}"] or 1.0 for i in range(len(numeric))])
+        self.mean = np.array([np.nan if r[f"m{i}"] is None else r[f"m{i}"] for i in range(len(numeric))])
+        self.names = []
+        for c in categorical:
+            top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(CATEGORIES).collect()
+            self.names.append([t[c] for t in top])
+        room = CELLS / math.prod(len(n) + 2 for n in self.names)
+        bins = max(1, int(room ** (1 / max(1, len(numeric)))) - 1)
+        keys, sums = [], []
+        for i, c in enumerate(numeric):
+            lo, width = r[f"lo{i}"] or 0.0, ((r[f"hi{i}"] or 0.0) - (r[f"lo{i}"] or 0.0)) / bins or 1.0
+            keys.append(F.when(F.col(c).isNotNull(), F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")).alias(f"b{i}"))
+            sums.append(F.sum(c).alias(f"x{i}"))
+        for i, (c, names) in enumerate(zip(categorical, self.names)):
+            # 0 stands for every category that is not told apart; it equals no prototype's.
+            at = F.array_position(F.array(*map(F.lit, names)), F.col(c)) if names else F.lit(0)
+            keys.append(F.when(F.col(c).isNotNull(), at.cast("int")).alias(f"k{i}"))
+        by = [f"b{i}" for i in range(len(numeric))] + [f"k{i}" for i in range(len(categorical))]
+        cells = df.select(*keys, *numeric).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *sums).orderBy(*by).toPandas()
+        self.n = cells["n"].to_numpy(float)
+        self.x = np.array([cells[f"x{i}"].to_numpy(float) / self.n for i in range(len(numeric))]).reshape(len(numeric), len(cells))
+        self.k = np.array([cells[f"k{i}"].fillna(-1).to_numpy(int) for i in range(len(categorical))]).reshape(len(categorical), len(cells))
+
+    def move(self, centre: np.ndarray, mode: np.ndarray, gamma: float) -> tuple[np.ndarray, np.ndarray]:
+        """Means (clusters x numeric) and modes (clusters x categorical, numbers from 1) of the cells nearest to each prototype."""
+        away = np.zeros((len(centre), len(self.n)))
+        for j in range(len(centre)):
+            for i, x in enumerate(self.x):
+                away[j] += np.nan_to_num(((x - centre[j, i]) / self.scale[i]) ** 2)
+            for i, k in enumerate(self.k):
+                if mode[j, i] > 0:
+                    away[j] += gamma * ((k >= 0) & (k != mode[j, i]))
+        own = away.argmin(axis=0)
+        centre, mode = centre.copy(), mode.copy()
+        for i, x in enumerate(self.x):
+            known = ~np.isnan(x)
+            n = np.bincount(own[known], self.n[known], len(centre))
+            total = np.bincount(own[known], self.n[known] * x[known], len(centre))
+            centre[n > 0, i] = total[n > 0] / n[n > 0]
+        for i, k in enumerate(self.k):
+            known = k > 0
+            n = np.bincount(own[known] * (CATEGORIES + 1) + k[known], self.n[known], len(centre) * (CATEGORIES + 1)).reshape(len(centre), -1)
+            some = n.max(axis=1) > 0
+            mode[some, i] = n[some].argmax(axis=1)
+        return centre, mode
+
+
 def fit_prototypes(
     df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, clusters: int = 8, rounds: int = ROUNDS, gamma: float = 1.0
 ) -> Prototypes:
-    """Lloyd rounds over all rows, one aggregation each; ``clusters`` rows come back to the driver.
+    """Lloyd rounds over a summary of all rows (``_Summary``), made in one pass.
 
     Starts from prototypes spread along the first numeric feature's range and the most frequent
     categories, and ends when no prototype moves, or with a warning after ``rounds``. An empty cluster
@@ -59,71 +122,53 @@ def fit_prototypes(
     """
     if clusters < 1 or rounds < 0:
         raise EngineError("At least one cluster and no negative number of rounds.")
-    stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("mean", F.mean), ("std", F.stddev_pop))]).first()
-    scales = {c: (stats[f"std_{c}"] or 1.0) for c in numeric}
-    common = {}
-    for c in categorical:
-        top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).limit(clusters).collect()
-        common[c] = [r[c] for r in top] or [None]
+    cells = _Summary(df, numeric, categorical)
     spread = lambda k: 0.0 if clusters == 1 else 3.0 * k / (clusters - 1) - 1.5
-    rows = [
-        {c: None if stats[f"mean_{c}"] is None else stats[f"mean_{c}"] + spread((k * (i + 1)) % clusters) * scales[c] for i, c in enumerate(numeric)}
-        | {c: common[c][k % len(common[c])] for c in categorical}
-        for k in range(clusters)
-    ]
-    model = Prototypes(rows, scales, categorical, gamma)
+    steps = np.array([[spread((k * (i + 1)) % clusters) for i in range(len(numeric))] for k in range(clusters)]).reshape(clusters, len(numeric))
+    centre = cells.mean + steps * cells.scale
+    mode = np.array([[1 + k % len(n) if n else 0 for n in cells.names] for k in range(clusters)], int).reshape(clusters, len(categorical))
+    still = False
     for _ in range(rounds):
-        # One pass: sums per (cluster, categories), then per cluster, so that no group is large.
-        d = df.select(model.cluster().alias("_k"), *numeric, *categorical)
-        part = d.groupBy("_k", *categorical).agg(
-            F.count("*").alias("_n"), *[f(c).alias(f"{n}_{c}") for c in numeric for n, f in (("sum", F.sum), ("cnt", F.count))]
-        )
-        aggs = [F.sum(f"{n}_{c}").alias(f"{n}_{c}") for c in numeric for n in ("sum", "cnt")]
-        if len(categorical) == 1:
-            c = categorical[0]
-            aggs.append(F.max(F.when(F.col(c).isNotNull(), F.struct("_n", F.col(c).alias("v")))).alias(f"mode_{c}"))
-            found = part.groupBy("_k").agg(*aggs).collect()
-        else:
-            found = part.groupBy("_k").agg(*aggs).collect()
-            modes = {}
-            for c in categorical:
-                per = part.where(F.col(c).isNotNull()).groupBy("_k", c).agg(F.sum("_n").alias("_n"))
-                modes[c] = {r["_k"]: r["m"] for r in per.groupBy("_k").agg(F.max(F.struct("_n", F.col(c).alias("v"))).alias("m")).collect()}
-            found = [r.asDict() | {f"mode_{c}": modes[c].get(r["_k"]) for c in categorical} for r in found]
-        new = [dict(p) for p in model.rows]
-        for r in found:
-            for c in numeric:
-                if r[f"cnt_{c}"]:
-                    new[r["_k"]][c] = r[f"sum_{c}"] / r[f"cnt_{c}"]
-            for c in categorical:
-                if r[f"mode_{c}"] is not None:
-                    new[r["_k"]][c] = r[f"mode_{c}"]["v"]
-        # Sums of the same rows differ in their last digits with the order of the tasks.
-        still = all(
-            (p[c] is None and q[c] is None) or (p[c] is not None and q[c] is not None and abs(p[c] - q[c]) <= 1e-9 * scales[c])
-            for p, q in zip(new, model.rows)
-            for c in numeric
-        ) and all(p[c] == q[c] for p, q in zip(new, model.rows) for c in categorical)
+        new, modes = cells.move(centre, mode, gamma)
+        still = bool((modes == mode).all() and np.nan_to_num(np.abs(new - centre) / cells.scale).max(initial=0.0) <= 1e-9)
+        centre, mode = new, modes
         if still:
-            model.converged = True
             break
-        model = Prototypes(new, scales, categorical, gamma)
-    if not model.converged:
+    rows = [
+        {c: None if np.isnan(centre[k, i]) else float(centre[k, i]) for i, c in enumerate(numeric)}
+        | {c: n[mode[k, i] - 1] if mode[k, i] else None for i, (c, n) in enumerate(zip(categorical, cells.names))}
+        for k in range(clusters)
+    ]
+    model = Prototypes(rows, dict(zip(numeric, map(float, cells.scale))), categorical, gamma)
+    model.converged = still
+    if not still:
         warnings.warn(f"The prototypes still moved after {rounds} rounds.", stacklevel=2)
     return model
 
 
-def _centres(long: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, feature, num, cat): the median of the numbers, the most frequent category (the first in order at ties)."""
-    numbers = long.where(F.col("num").isNotNull()).groupBy(*keys, "feature", "num").agg(F.count("*").alias("n"))
-    medians = quantiles(numbers, [*keys, "feature"], "num", "n", {"median": 0.5})
-    cats = long.where(F.col("cat").isNotNull()).groupBy(*keys, "feature", "cat").agg(F.count("*").alias("n"))
-    modes = cats.groupBy(*keys, "feature").agg(F.min(F.struct((-F.col("n")).alias("m"), "cat")).alias("m"))
-    return medians.select(*keys, "feature", F.col("median").alias("num"), F.lit(None).cast("string").alias("cat")).unionByName(
-        modes.select(*keys, "feature", F.lit(None).cast("double").alias("num"), F.col("m.cat").alias("cat"))
+def _centres(counted: DataFrame, keys: list[str], cuts: Sequence[float]) -> DataFrame:
+    """(keys, num, cat): the median of the numbers, the most frequent category (the first in order at ties) of value frequencies."""
+    numbers = counted.where(F.col("num").isNotNull())
+    medians = quantiles(numbers, keys, "num", "n", {"median": 0.5}, cuts)
+    modes = counted.where(F.col("cat").isNotNull()).groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), "cat")).alias("m"))
+    return medians.select(*keys, F.col("median").alias("num"), F.lit(None).cast("string").alias("cat")).unionByName(
+        modes.select(*keys, F.lit(None).cast("double").alias("num"), F.col("m.cat").alias("cat"))
     )
 
 
+#: Most centres that are broadcast.
+FEW_CENTRES = 200_000
+
+
+def _look_up(wanted: DataFrame, centres: DataFrame, on: list[str], name: str) -> DataFrame:
+    """``wanted`` with the centre of its keys, if there is one. Hot keys are spread."""
+    table = centres.select(*on, F.struct("num", "cat").alias(name))
+    if table.count() <= FEW_CENTRES:
+        return wanted.join(F.broadcast(table), on, "left")
+    asked = wanted.groupBy(*on).agg(F.count("*").alias("_asked"))
+    return attach(wanted, table.join(asked, on), on, "_asked", wanted.count())
+
+
 def fill_missing(
     df: DataFrame,
     id_column: str,
@@ -165,21 +210,26 @@ def fill_missing(
     held = long.where(F.col("num").isNotNull() | F.col("cat").isNotNull())
     wanted = clean.where(gaps).select("id", "_k", *keys, F.explode(cells).alias("c")).select("id", "_k", *keys, "c.*")
     wanted = wanted.where(F.col("num").isNull() & F.col("cat").isNull()).drop("num", "cat")
+    wanted = cut(wanted)
+    cuts = range_cuts(held, "num")
     found = None
     for i, (name, _) in enumerate(groups):
         key = keys[i]
         known = held.where(F.col(key).isNotNull())
         if i:
             # Later groups only serve what earlier ones left; their centres are made for those keys alone.
-            known = known.join(wanted.select(key, "feature").distinct(), [key, "feature"], "left_semi")
-        choices = []
-        for level, on in (("cluster", [key, "_k"]), ("group", [key])):
+            known = known.join(wanted.select(key, "feature").distinct().hint("shuffle_hash"), [key, "feature"], "left_semi")
+        # One count of values serves both levels; the sum of a group's clusters is the group.
+        counted = cut(known.groupBy(key, "feature", "_k", "num", "cat").agg(F.count("*").alias("n")))
+        whole = counted.groupBy(key, "feature", "num", "cat").agg(F.sum("n").alias("n"))
+        tried, choices = wanted, []
+        for level, on, d in (("cluster", [key, "feature", "_k"], counted), ("group", [key, "feature"], whole)):
             at = f"_c_{level}"
-            wanted = wanted.join(_centres(known, on).select(*on, "feature", F.struct("num", "cat").alias(at)), [*on, "feature"], "left")
+            tried = _look_up(tried, cut(_centres(d, on, cuts)), on, at)
             choices.append(
                 F.when(F.col(at).isNotNull(), F.struct(F.lit(name).alias("filled_from"), F.lit(level).alias("method"), F.col(f"{at}.num"), F.col(f"{at}.cat")))
             )
-        tried = cut(wanted.select("id", "_k", *keys, "feature", F.coalesce(*choices).alias("f")))
+        tried = cut(tried.select("id", "_k", *keys, "feature", F.coalesce(*choices).alias("f")))
         filled = tried.where("f is not null").select("id", "feature", "f")
         found = filled if found is None else found.unionAll(filled)
         wanted = tried.where("f is null").drop("f")
