@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.special import finite, t_two_sided
 from tabulon.operators.guards import enough, known, require, varying
 from tabulon.operators.numeric import Prepared, prepare
-from tabulon.runtime import cut, quoted
+from tabulon.runtime import attach, cut, quoted
 
 METHODS = ("pearson", "spearman")
 
@@ -28,13 +28,17 @@ def average_ranks(df: DataFrame, column: str, rank: str) -> DataFrame:
     offsets = F.broadcast(sizes.select("_p", before.alias("_b")))  # one row per partition
     own = F.sum("_n").over(Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
     d = freq.withColumn("_c", own).join(offsets, "_p")
-    return d.select(column, (F.col("_b") + F.col("_c") - F.col("_n") / 2 + 0.5).alias(rank))
+    return d.select(column, "_n", (F.col("_b") + F.col("_c") - F.col("_n") / 2 + 0.5).alias(rank))
 
 
 def spearman_frame(df: DataFrame, y: str, x: str) -> DataFrame:
-    """(ry, rx) of complete rows."""
+    """(ry, rx) of complete rows. Values of very many rows are looked up in several parts."""
     d = df.select(quoted(y).alias("_y"), quoted(x).alias("_x"))
-    return d.join(average_ranks(d, "_y", "ry"), "_y").join(average_ranks(d, "_x", "rx"), "_x").select("ry", "rx")
+    ranks = {c: cut(average_ranks(d, c, r)) for c, r in (("_y", "ry"), ("_x", "rx"))}
+    n = ranks["_y"].agg(F.sum("_n")).first()[0] or 0
+    for c, table in ranks.items():
+        d = attach(d, table, [c], "_n", n, "inner")
+    return d.select("ry", "rx")
 
 
 def correlation_p(r: float, n: int) -> float:

@@ -76,7 +76,9 @@ def attach(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total:
     parts, salt = fresh([*rows.columns, *table.columns], "_parts", "_salt")
     sized = table.withColumn(parts, F.greatest(F.lit(1), F.ceil(F.col(weight) * F.lit(SPREAD / max(1, total)))).cast("int")).drop(weight)
     hot = F.broadcast(sized.where(F.col(parts) > 1).select(*on, parts))
-    dealt = rows.join(hot, on, "left").withColumn(salt, F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns]), F.coalesce(parts, F.lit(1))).cast("int")).drop(parts)
+    no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    spread = F.when(no_key, F.lit(SPREAD)).otherwise(F.coalesce(parts, F.lit(1)))  # rows without a key find nothing, wherever they are
+    dealt = rows.join(hot, on, "left").withColumn(salt, F.pmod(F.xxhash64(*[quoted(c) for c in rows.columns]), spread).cast("int")).drop(parts)
     each = sized.withColumn(salt, F.explode(F.sequence(F.lit(0), F.col(parts) - 1))).drop(parts)
     return dealt.join(each.hint("shuffle_hash"), [*on, salt], how).drop(salt)
 
