@@ -5,6 +5,7 @@ commutative multiset hashing: four sums of 32-bit halves, so that the order of f
 and equal pairs do not cancel. Records are grouped by the fingerprint in one hash aggregation whose
 keys hold the normalised fields too: equal fingerprints of different records therefore stay apart,
 nothing is sorted, and a record with a billion copies shrinks to one row per task before the shuffle.
+Where every row is wanted back, the rows of such a record are looked up in several parts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.errors import EngineError
-from tabulon.runtime import cut, quoted
+from tabulon.runtime import attach, cut, quoted
 
 _LOW = 0xFFFFFFFF
 
@@ -87,12 +88,15 @@ def surplus(df: DataFrame, id_column: str, fields: Mapping[str, str], swappable:
     lanes, keys = [f"f{i}" for i in range(4)], [c for c in d.columns if c != "id"]
     records = d.groupBy(*keys).agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     # Texts are shuffled once, for the verification. A fingerprint of one record only, which is all of
-    # them but for collisions, then stands for it when the rows are looked up.
+    # them but for collisions, then stands for it when the rows are looked up. Fingerprints of one row
+    # need no look, and those of very many are spread over several tasks.
     prints = records.groupBy(*lanes).agg(F.count("*").alias("records"), F.min("first_id").alias("first_id"), F.sum("copies").alias("copies"))
-    prints = cut(prints.where("copies > 1"))
-    hit = d.select("id", *lanes).join(prints.where("records = 1").select(*lanes, "first_id"), lanes)
-    collided = prints.where("records > 1").select(*lanes)
+    prints = cut(prints)
+    total = prints.agg(F.sum("copies")).first()[0] or 0
+    again = prints.where("copies > 1")
+    hit = attach(d.select("id", *lanes), again.where("records = 1").select(*lanes, "first_id", "copies"), lanes, "copies", total, "inner")
+    collided = again.where("records > 1").select(*lanes)
     if not collided.isEmpty():
-        same = records.where("copies > 1").drop("copies").join(collided, lanes, "left_semi")
-        hit = hit.select("id", "first_id").unionAll(d.join(same, keys).select("id", "first_id"))
+        same = records.where("copies > 1").join(F.broadcast(collided) if collided.count() <= 10_000 else collided.hint("shuffle_hash"), lanes, "left_semi")
+        hit = hit.select("id", "first_id").unionAll(attach(d, same, keys, "copies", total, "inner").select("id", "first_id"))
     return hit.where(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("copy_id"))

@@ -87,8 +87,9 @@ def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     # The subjects are few and fixed; each is one row.
     names = [r["subject"] for r in table(spark, sf_dir, "subjects").select("subject").collect()]
-    lexicon = fit_lexicon(documents, "doc_id", "text", table(spark, sf_dir, "subject_labels"), names, parallel="tgt_text")
-    return subjects_of(documents, "doc_id", "text", lexicon, address="bundle_id", source="source").withColumnRenamed("id", "doc_id")
+    labels = table(spark, sf_dir, "subject_labels")
+    lexicon = fit_lexicon(documents, "doc_id", "text", labels, names, parallel="tgt_text")
+    return subjects_of(documents, "doc_id", "text", lexicon, address="bundle_id", source="source", labels=labels).withColumnRenamed("id", "doc_id")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
+import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 
-from tabulon.llm.subjects import LatentModel, fit_lexicon, sentences, subjects_of
+from tabulon.llm.subjects import AROUND, LatentModel, Patterns, at_least, fit_lexicon, sentences, subjects_of, words
 
 TERMS = {
     "sport": ["goal", "referee", "league", "striker", "medal", "penalty"],
@@ -42,9 +45,10 @@ def test_sentences():
 def test_held_out_accuracy(rows):
     docs, labels, truth = corpus(900)
     d = rows(docs, "doc_id long, text string, tgt string, bundle string, source string, lead int")
-    lexicon = fit_lexicon(d, "doc_id", "text", rows(labels, "doc_id long, subject string, annotator string"), list(TERMS), parallel="tgt")
+    known = rows(labels, "doc_id long, subject string, annotator string")
+    lexicon = fit_lexicon(d, "doc_id", "text", known, list(TERMS), parallel="tgt")
     got = {}
-    for r in subjects_of(d, "doc_id", "text", lexicon, address="bundle", source="source").collect():
+    for r in subjects_of(d, "doc_id", "text", lexicon, address="bundle", source="source", labels=known).collect():
         got.setdefault(r["id"], set()).add(r["subject"])
     told = {i for i, *_ in labels}
     wrong = sum(got.get(i, set()) != t for i, t in truth.items() if i not in told)
@@ -54,17 +58,58 @@ def test_held_out_accuracy(rows):
     assert subjects_of(odd.limit(0), "doc_id", "text", lexicon, address="bundle", source="source").count() == 0
 
 
-def test_accuracies_are_learnt_from_agreement():
-    # The section is right most often, then the address, then the words, contrary to the initial trust.
-    rng = random.Random(5)
-    n = {}
-    for _ in range(5000):
-        z = rng.randrange(3)
-        flip = lambda p: z if rng.random() < p else (z + rng.randint(1, 2)) % 3
-        v = (-1, flip(0.6), -1, flip(0.92), flip(0.75), -1)
-        n[v] = n.get(v, 0) + 1
-    m = LatentModel(list(n), list(n.values()), 3)
-    assert m.trust[3] > m.trust[4] > m.trust[1]
+def drawn(words, around, n=8000, classes=4, labelled=0.3, seed=5):
+    """Vote patterns of sentences whose surroundings share one error: right together or wrong together, mostly."""
+    rng = random.Random(seed)
+    found = {}
+    pack = Patterns(classes)
+    for _ in range(n):
+        z = rng.randrange(classes)
+        wrong = (z + rng.randint(1, classes - 1)) % classes
+        first, again = (z if rng.random() < words else (z + rng.randint(1, classes - 1)) % classes for _ in "ab")
+        common = z if rng.random() < around else wrong
+        votes = [common if rng.random() < 0.95 else rng.randrange(classes) for _ in AROUND]
+        code = int(pack.pack(np.array(0), np.array(first), np.array(-1), np.array(again), np.array(-1), *map(np.array, votes)))
+        label = (z,) if z < classes - 1 and rng.random() < labelled else None
+        found[code, label] = found.get((code, label), 0) + 1
+    return [c for c, _ in found], [x for _, x in found], list(found.values())
+
+
+def test_accuracies_are_learnt_although_the_surroundings_depend_on_each_other():
+    for words, around in ((0.97, 0.55), (0.7, 0.9)):
+        m = LatentModel(*drawn(words, around), 4)
+        report = {name: accuracy for name, _, accuracy in m.report}
+        assert report["clear"] == pytest.approx(words, abs=0.05)
+        for name in AROUND:
+            assert report[name] == pytest.approx(around, abs=0.07)
+    # Three surroundings that agree do not outvote clear words that are right more often.
+    m = LatentModel(*drawn(0.97, 0.55), 4)
+    code = Patterns(4).pack(np.array([0]), *map(np.array, ([1], [-1], [1], [-1])), *[np.array([2])] * 3)
+    assert m.of(code)[0].argmax() == 1
+
+
+def test_surroundings_settle_what_the_words_leave_open():
+    pack = Patterns(4)
+    codes = pack.pack(np.array([11, 11]), np.array([0, 0]), np.array([1, 1]), *[np.array([-1, -1])] * 2, *np.array([[1, -1]] * 3))
+    m = LatentModel(codes.tolist(), [None, None], [1.0, 1.0], 4)
+    assert m.of(codes).argmax(axis=1).tolist() == [1, 0]
+
+
+def test_probability_of_enough_events():
+    rng = np.random.default_rng(1)
+    p = np.where(rng.random((7, 3)) < 0.3, 1.0, rng.random((7, 3)))
+    for m in (1, 3, 5):
+        want = [sum(math.prod(p[i, j] if s[i] else 1 - p[i, j] for i in range(7)) for s in itertools.product((0, 1), repeat=7) if sum(s) >= m) for j in range(3)]
+        assert at_least(p, np.full(3, m)).tolist() == pytest.approx(want, abs=0.01)
+
+
+def test_many_subjects_and_scripts():
+    pack = Patterns(60)
+    votes = [np.array([v]) for v in (59, 31, -1, 7, -1, 58, -1)]
+    assert [x.tolist() for x in pack.unpack(pack.pack(np.array([3]), *votes))] == [[3]] + [v.tolist() for v in votes]
+    assert len(sentences("\u092f\u0939 \u0939\u0948\u0964 \u0935\u0939 \u0939\u0948\u0964")) == 2
+    assert words("\u88c1\u5224\u6240\u306f") == {"\u88c1\u5224", "\u5224\u6240", "\u6240\u306f"}
+    assert words("Don't STOP") == {"don", "t", "stop"}
 
 
 def test_without_labels(rows):
