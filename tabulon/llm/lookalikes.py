@@ -12,6 +12,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,16 +21,20 @@ from pyspark.sql import types as T
 
 from tabulon.runtime import fresh, quoted
 
-# Letters of the Latin, Cyrillic and Greek scripts that look alike, column by column.
-LATIN = "ABCEHIJKMOPSTXYZaceijopsxyvn"
-CYRILLIC = "АВСЕНІЈКМОРЅТХУ~асеіјорѕху~~"
-GREEK = "ΑΒ~ΕΗΙ~ΚΜΟΡ~ΤΧΥΖα~~ι~ορ~χυνη"
+# Letters of other scripts that look like Latin ones, column by column; ~ where a script has none.
+LATIN = "ABCDEGHIJKLMNOPQSTUVWXYZacdeghijlnopqsuvwxyz"
+CYRILLIC = "АВС~Е~НІЈК~М~ОРԚЅТ~Ѵ~ХУ~асԁе~һіјӏ~орԛѕ~ѵԝху~"
+GREEK = "ΑΒ~~Ε~ΗΙ~Κ~ΜΝΟΡ~~Τ~~~ΧΥΖα~~~~~ι~~ηορ~~υν~χγ~"
+ARMENIAN = "~~~~~~~~~~~~~Օ~~Տ~Ս~~~~~~~~~ցհ~յ~ոօ~զ~ս~~~~~"
+CHEROKEE = "ᎪᏴᏟᎠᎬᏀᎻᎥᎫᏦᏞᎷ~~Ꮲ~ᏚᎢ~ᏙᎳ~~Ꮓ~~~~~~~~~~~~~~~~~~~~"
 # Default-ignorable characters beside those of the category Cf.
 IGNORABLE = re.compile("[\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u2065\u3164\ufe00-\ufe0f\uffa0\ufff0-\ufff8\U000e0000-\U000e0fff]")
 # Characters of the category Cf that are visible.
 VISIBLE = re.compile("[\u0600-\u0605\u06dd\u070f\u0890\u0891\u08e2\U000110bd\U000110cd]")
 
-_SCRIPTS = {"LATIN": LATIN, "CYRILLIC": CYRILLIC, "GREEK": GREEK}
+_SCRIPTS = {"LATIN": LATIN, "CYRILLIC": CYRILLIC, "GREEK": GREEK, "ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE}
+# Scripts that one writing system mixes.
+_TOGETHER = dict.fromkeys(("CJK", "HIRAGANA", "KATAKANA", "HANGUL", "BOPOMOFO", "IDEOGRAPHIC"), "CJK")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])*")
 _WIDE = ("\uff00", "\uffef")
 
@@ -41,6 +46,8 @@ class Forms:
         self.kind: dict[str, str] = {}
         self.plain: dict[str, str] = {}
         self.script: dict[str, str] = {}
+        self.ordinary: set[str] = set()
+        self.odd: set[str] = set()
         self.alike = {
             (a, b): {x: y for x, y in zip(_SCRIPTS[a], _SCRIPTS[b]) if x != "~" and y != "~"} for a in _SCRIPTS for b in _SCRIPTS if a != b
         }
@@ -77,13 +84,21 @@ class Forms:
             c = unicodedata.normalize("NFKC", ch)[:1]
             if c and unicodedata.category(c)[0] == "L":
                 s = unicodedata.name(c, "").split(" ")[0].split("-")[0]
-                s = {"IDEOGRAPHIC": "CJK", "MODIFIER": ""}.get(s, s)
+                s = "" if s == "MODIFIER" else _TOGETHER.get(s, s)
             self.script[ch] = s
         return s
 
+    def plain_text(self, text: str) -> bool:
+        """Does a text hold ordinary characters of at most one script only, each composed? Most do, and this is a matter of sets."""
+        chars = set(text)
+        new = chars - self.ordinary - self.odd
+        for c in new:
+            (self.odd if c >= "\x80" and self.kind_of(c) else self.ordinary).add(c)
+        return not chars & self.odd and unicodedata.is_normalized("NFC", text) and len({s for s in map(self.script_of, chars) if s}) < 2
+
     def unusual(self, text: str) -> bool:
         """Does a text hold a compatibility form, an accent apart, an invisible character, another space or mixed scripts?"""
-        if text.isascii():
+        if text.isascii() or self.plain_text(text):
             return False
         if any(self.kind_of(c) for c in set(text) if c >= "\x80") or not unicodedata.is_normalized("NFC", text):
             return True
@@ -107,7 +122,7 @@ class Forms:
         return unicodedata.normalize("NFC", table[base] + "".join(marks)) if base in table else ch
 
     def normal(self, text: str, fold: bool = True) -> str:
-        if not text.isascii():
+        if not text.isascii() and not self.plain_text(text):
             text = unicodedata.normalize("NFC", "".join(map(self.plain_of, text)))
             text = _WORD.sub(lambda m: m.group() if m.group().isascii() else self.one_script(m.group()), text)
         if fold:
@@ -143,7 +158,9 @@ def unify(df: DataFrame, columns: Sequence[str], *, fold: bool = True) -> DataFr
 
 def unusual_cells(df: DataFrame, id_column: str, columns: Sequence[str]) -> DataFrame:
     """(row_id, column_name, original, unified) of the unusual cells only."""
-    d = unify(df.select(quoted(id_column).alias("row_id"), *[quoted(c) for c in columns]), columns)
+    # ASCII texts are ordinary and need not leave the JVM.
+    odd = reduce(lambda a, b: a | b, [quoted(c).rlike(r"[^\x00-\x7f]") for c in columns])
+    d = unify(df.where(odd).select(quoted(id_column).alias("row_id"), *[quoted(c) for c in columns]), columns)
     cells = F.array(
         *[
             F.when(F.col(f"{c}_unusual"), F.struct(F.lit(c).alias("column_name"), quoted(c).alias("original"), F.col(f"{c}_unified").alias("unified")))

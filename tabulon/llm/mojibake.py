@@ -18,7 +18,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -163,7 +165,7 @@ class Garble:
             raw = text.translate(table)
             for m in _UTF8.finditer(raw) if single else ():
                 fixed = m.group().encode("latin-1").decode("utf-8")
-                for _ in range(3):  # garbled more than once in the same way
+                while True:  # garbled more than once in the same way; every step is shorter
                     deeper = _UTF8.sub(lambda x: x.group().encode("latin-1").decode("utf-8"), fixed.translate(table))
                     if "\0" in deeper or len(deeper) >= len(fixed) or self.score(deeper) <= self.score(fixed):
                         break
@@ -244,12 +246,10 @@ class Garble:
             t += 1
         return out
 
-    def restore(self, text: str, depth: int = 4) -> tuple[str, bool]:
-        """(the text with every labelled span restored, was anything garbled). Lost characters stay."""
-        garbled = _LOST in text
-        for _ in range(depth):
-            if text.isascii():
-                break
+    def restore(self, text: str) -> tuple[str, bool]:
+        """(the text with every labelled span restored, again until nothing is labelled; was anything garbled). Lost characters stay."""
+        garbled, seen = _LOST in text, {text}
+        while not text.isascii():
             spans = self.label(text)
             if not spans:
                 break
@@ -259,25 +259,88 @@ class Garble:
                 done += [text[at:i], fixed]
                 at = j
             text = "".join([*done, text[at:]])
+            if text in seen:  # two orders of the letters that look each better from the other
+                break
+            seen.add(text)
         return text, garbled
 
 
+class _Restored(dict):
+    """Texts restored so far in a task; equal ones are labelled once. Emptied when large."""
+
+    def __init__(self, model: Garble, most: int = 50_000):
+        self.model, self.most = model, most
+
+    def __missing__(self, text: str) -> tuple[str, bool]:
+        if len(self) >= self.most:
+            self.clear()
+        done = self[text] = (text, False) if text.isascii() else self.model.restore(text)
+        return done
+
+
+_WIDEST = 0x110000
+
+
+class _Letters:
+    """Tables by code point: is it a letter, is it one of the Cyrillic letters of ``_LETTERS``."""
+
+    def __init__(self):
+        self.alpha, self.known = np.zeros(_WIDEST, bool), np.zeros(_WIDEST, bool)
+        self.own = np.zeros(_WIDEST, bool)
+        self.own[[c for c in range(0x400, 0x460) if _LETTERS.fullmatch(chr(c))]] = True
+
+    def isalpha(self, codes: np.ndarray) -> np.ndarray:
+        new = np.unique(codes[~self.known[codes]])
+        self.alpha[new] = [chr(c).isalpha() for c in new]
+        self.known[new] = True
+        return self.alpha[codes]
+
+
+def count_characters(texts: Sequence[str], weights: Sequence[int], letters: _Letters | None = None) -> Counter:
+    """How often each character occurs, and each pair of letters (or of a space and the first letter) of words of Cyrillic letters without case."""
+    letters = letters or _Letters()
+    total: Counter = Counter()
+    if not texts:
+        return total
+    n = np.array([len(t) for t in texts])
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen, back = np.unique(codes, return_inverse=True)
+    for c, m in zip(seen.tolist(), np.bincount(back, np.repeat(np.array(weights, float), n)).tolist()):
+        total[chr(c)] += int(m)
+    folded = [(" " + t.casefold() + " ", w) for t, w in zip(texts, weights) if not t.isascii()]
+    if not folded:
+        return total
+    codes = np.frombuffer("".join(t for t, _ in folded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = letters.own[codes]
+    if not own.any():
+        return total
+    each = np.repeat([float(w) for _, w in folded], [len(t) for t, _ in folded])
+    alpha = letters.isalpha(codes)
+    # Runs of Cyrillic letters, but not those that other letters touch. Texts begin and end with a space.
+    edge = np.diff(own.astype(np.int8), prepend=0)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    alone = ~alpha[start - 1] & ~alpha[end]
+    start, end = start[alone], end[alone]
+    at = np.repeat(start - np.concatenate(([0], np.cumsum(end - start)[:-1])), end - start) + np.arange(int((end - start).sum()))
+    before = codes[at - 1].astype(np.int64)
+    before[np.isin(at, start)] = ord(" ")
+    pairs, back = np.unique(before * _WIDEST + codes[at], return_inverse=True)
+    for c, m in zip(pairs.tolist(), np.bincount(back, each[at]).tolist()):
+        total[chr(c // _WIDEST) + chr(c % _WIDEST)] += int(m)
+    return total
+
+
 def _count(df: DataFrame, columns: Sequence[str], model: Garble | None) -> Counter:
     """How often each character, and each pair of Cyrillic letters, occurs in all cells, as they are or as restored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
+        letters, restored = _Letters(), _Restored(model) if model is not None else None
         for b in batches:
             for c in b.columns:
-                for v, n in zip(*(x.to_pylist() for x in c.value_counts().flatten())):
-                    if v:
-                        text = model.restore(v)[0] if model is not None and not v.isascii() else v
-                        for ch, m in Counter(text).items():
-                            total[ch] += n * m
-                        if not text.isascii():
-                            for w in _LETTERS.findall(text.casefold()):
-                                for a, b in zip(" " + w, w):
-                                    total[a + b] += n
+                found = [(v, n) for v, n in zip(*(x.to_pylist() for x in c.value_counts().flatten())) if v]
+                texts = [v if restored is None else restored[v][0] for v, _ in found]
+                total.update(count_characters(texts, [n for _, n in found], letters))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["c", "n"])
 
     found = df.select(*[quoted(c) for c in columns]).mapInArrow(run, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).collect()
@@ -305,18 +368,19 @@ def restore_text(df: DataFrame, columns: Sequence[str], model: Garble) -> DataFr
 
     Null stays null and is not garbled; empty and ASCII texts stay as they are. A text with U+FFFD is
     garbled, and what was lost there is not restored. Whole texts are read, whatever their length, and
-    equal texts of a batch are labelled once. New names that are taken get a numbered suffix.
+    equal texts of a task are labelled once. New names that are taken get a numbered suffix.
     """
     names = fresh(df.columns, *[f"{c}_{x}" for c in columns for x in ("restored", "garbled")])
     fields = T.StructType(df.schema.fields + [T.StructField(n, T.StringType() if i % 2 == 0 else T.BooleanType()) for i, n in enumerate(names)])
     at = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restored = _Restored(model)
         for b in batches:
             new = []
             for i in at:
                 coded = b.column(i).dictionary_encode()
-                done = [model.restore(v) for v in coded.dictionary.to_pylist()]
+                done = [restored[v] for v in coded.dictionary.to_pylist()]
                 for kind, values in ((pa.string(), [x[0] for x in done]), (pa.bool_(), [x[1] for x in done])):
                     column = pa.array(values, kind).take(coded.indices) if done else pa.nulls(len(coded), kind)
                     new.append(column if kind == pa.string() else column.fill_null(False))
@@ -327,7 +391,9 @@ def restore_text(df: DataFrame, columns: Sequence[str], model: Garble) -> DataFr
 
 def garbled_cells(df: DataFrame, id_column: str, columns: Sequence[str], model: Garble) -> DataFrame:
     """(row_id, column_name, restored) of the garbled cells only."""
-    d = restore_text(df.select(quoted(id_column).alias("row_id"), *[quoted(c) for c in columns]), columns, model)
+    # ASCII texts are never garbled and need not leave the JVM.
+    odd = reduce(lambda a, b: a | b, [quoted(c).rlike(r"[^\x00-\x7f]") for c in columns])
+    d = restore_text(df.where(odd).select(quoted(id_column).alias("row_id"), *[quoted(c) for c in columns]), columns, model)
     cells = F.array(
         *[
             F.when(F.col(f"{c}_garbled"), F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_restored").alias("restored")))

@@ -47,3 +47,13 @@ def test_tables(rows, tuples):
     got = tuples(unusual_cells(t, "id", ["name", "note"]), "row_id", "column_name")
     assert got == sorted([(1, "name"), (2, "note"), (4, "name"), (4, "note"), (4, "note")], key=repr)
     assert unify(t.limit(0), ["name"]).count() == 0
+
+
+def test_more_scripts_and_writing_systems():
+    from tabulon.llm.lookalikes import Forms
+
+    f = Forms()
+    for odd, plain in (("\u0501og", "dog"), ("\u04cfove", "love"), ("\u13aapple", "apple"), ("w\u0585rd", "word")):
+        assert f.unusual(odd) and f.normal(odd) == plain
+    for fine in ("\u65e5\u672c\u306e\u4f1a\u793e", "\u5927\u97d3\ubbfc\uad6d", "\u041c\u043e\u0441\u043a\u0432\u0430 \u043d\u0435 Moscow", "na\u00efve caf\u00e9"):
+        assert not f.unusual(fine)

@@ -1,3 +1,4 @@
+from collections import Counter
 import random
 
 import pytest
@@ -97,3 +98,28 @@ def test_tables(spark, rows, tuples):
 def test_very_long_text(model):
     text = "x" * 200_000 + misread("é", "utf-8", "cp1252") + "y" * 200_000
     assert model.restore(text) == ("x" * 200_000 + "é" + "y" * 200_000, True)
+
+
+def test_characters_are_counted_as_one_by_one():
+    from tabulon.llm.mojibake import _LETTERS, count_characters
+
+    texts = ["\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440", "abc\u041f\u0440\u0438\u0432\u0435\u0442", "\u043c\u0438\u0440-\u043c\u0438\u0440 x", "", "a\U0001f600", "\u0401\u0436\u00c4 \u0451\u0436"]
+    weights = [3, 1, 2, 1, 5, 1]
+    want = Counter()
+    for t, n in zip(texts, weights):
+        for ch in t:
+            want[ch] += n
+        for w in _LETTERS.findall(t.casefold()):
+            for a, b in zip(" " + w, w):
+                want[a + b] += n
+    assert count_characters(texts, weights) == want
+
+
+def test_deep_garbles_come_out_whole():
+    text = "Jos\u00e9 M\u00fcller, S\u00e3o Paulo"
+    plain = "Jos\u00e9 M\u00fcller S\u00e3o Paulo Z\u00fcrich caf\u00e9 " * 500
+    model = Garble(Counter(plain))
+    deep = text
+    for _ in range(6):
+        deep = deep.encode("utf-8").decode("latin-1")
+    assert model.restore(deep) == (text, True)

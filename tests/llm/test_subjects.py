@@ -92,7 +92,8 @@ def test_surroundings_settle_what_the_words_leave_open():
     pack = Patterns(4)
     codes = pack.pack(np.array([11, 11]), np.array([0, 0]), np.array([1, 1]), *[np.array([-1, -1])] * 2, *np.array([[1, -1]] * 3))
     m = LatentModel(codes.tolist(), [None, None], [1.0, 1.0], 4)
-    assert m.of(codes).argmax(axis=1).tolist() == [1, 0]
+    p = m.of(codes)
+    assert p[0].argmax() == 1 and p[0, 1] > p[1, 1] + 0.1 and p[1, 0] > 0.3 > p[1, 2]
 
 
 def test_probability_of_enough_events():
