@@ -37,7 +37,7 @@ class Forest:
         node = tree.copy()
         orders = [np.argsort(x[:, f], kind="stable").argsort(kind="stable") for f in range(p)]
         feature, threshold, left = [np.full(trees, -1)], [np.zeros(trees)], [np.full(trees, -1)]
-        value, cover = [], []
+        value, cover, rows_drawn = [], [], []
         first, width, depth = 0, trees, 0
         while True:
             local = node - first
@@ -48,6 +48,7 @@ class Forest:
             mean = sy / sw
             value.append(mean)
             cover.append(sw)
+            rows_drawn.append(drawn)
             impurity = syy / sw - mean * mean
             ok = (drawn >= min_split) & (impurity > 1e-12 * np.maximum(1.0, mean * mean))
             if max_depth is not None and depth >= max_depth:
@@ -100,7 +101,7 @@ class Forest:
             left.append(np.full(width, -1))
         self.trees = trees
         self.feature, self.threshold, self.left = (np.concatenate(a) for a in (feature, threshold, left))
-        self.value, self.cover = np.concatenate(value), np.concatenate(cover)
+        self.value, self.cover, self.drawn = np.concatenate(value), np.concatenate(cover), np.concatenate(rows_drawn)
         self.depth = depth
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -112,6 +113,29 @@ class Forest:
             node = np.where(go, self.left[node] + (x[cols, np.maximum(f, 0)] > self.threshold[node]), node)
         return self.value[node].mean(axis=0)
 
+    def pruned_sums(self, x: np.ndarray, limits: list[tuple[int | None, int]], step: int = 200_000) -> np.ndarray:
+        """(limits x rows): the sums over the trees of their predictions, were they grown to a depth and smallest split only.
+
+        A tree grown further than that has the same nodes up to there, so that one forest serves all limits.
+        """
+        out = np.zeros((len(limits), len(x)))
+        for t in range(self.trees):
+            for s in range(0, len(x), step):
+                part = x[s : s + step]
+                rows = np.arange(len(part))
+                node = np.full(len(part), t)
+                open_ = np.ones((len(limits), len(part)), bool)
+                for depth in range(self.depth + 1):
+                    f = self.feature[node]
+                    for k, (most, least) in enumerate(limits):
+                        ends = open_[k] & ((f < 0) | (self.drawn[node] < least) | (depth >= (self.depth if most is None else most)))
+                        out[k, s : s + step][ends] += self.value[node[ends]]
+                        open_[k] &= ~ends
+                    if not open_.any():
+                        break
+                    node = np.where(f >= 0, self.left[node] + (part[rows, np.maximum(f, 0)] > self.threshold[node]), node)
+        return out
+
     def _leaves(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(leaf values over the number of trees, a, b): per leaf and feature, does the target's path lead
         there as far as this feature decides (0 or 1), and the share of the rows that go there."""

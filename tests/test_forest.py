@@ -100,6 +100,18 @@ def test_local_forests(table, fit_method):
     assert local.source_row.min() == 2
 
 
+def test_one_forest_serves_all_limits():
+    x, y, w = sample()
+    deep = Forest(x, y, w, 15, None, 2, 9)
+    limits = [(None, 2), (3, 2), (None, 9), (2, 30)]
+    got = deep.pruned_sums(x, limits, step=7)
+    assert got[0] / 15 == pytest.approx(deep.predict(x))
+    for k, (depth, split) in enumerate(limits):
+        # The draws of a forest come before its lots, so that the bootstrap is the same; ties of the features are rare.
+        assert got[k] / 15 == pytest.approx(Forest(x, y, w, 15, depth, split, 9).predict(x), abs=0.5)
+    assert got[1] / 15 == pytest.approx(Forest(x, y, w, 15, 3, 2, 9).predict(x))
+
+
 def test_searches(table):
     g = tune_parameters(table, "t", ["x1", "x2"], trees=20, depth=5, split=5)
     assert len(g["search_results"]) == len(grid(20, 5, 5)) == 12
