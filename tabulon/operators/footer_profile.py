@@ -10,31 +10,44 @@ ranges, quartiles, distribution changes) works on this value-frequency table ins
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from urllib.parse import unquote, urlparse
+from urllib.parse import unquote, urlparse, urlunparse
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.errors import EngineError
-from tabulon.functions.text import number, strip, value_type
-from tabulon.runtime import cut, quantiles, quoted
+from tabulon.functions.text import ascii_digits, strip, value_type
+from tabulon.operators.parquet_pages import chunk_dictionary
+from tabulon.runtime import cut, quantiles, quoted, range_cuts
 
 _OUT = "load_id long, column_name string, value string, n long"
 _TYPES = ("boolean", "datetime", "number", "text")
 
 
-def _open(uri: str, coded: Sequence[str] = ()) -> pq.ParquetFile:
-    """A file whose columns ``coded`` are left as dictionary codes."""
+def _system(uri: str):
+    """(file system, path) of a URI: this machine's, those that Arrow knows, else any that fsspec does."""
     parts = urlparse(uri)
     if parts.scheme in ("", "file"):
-        return pq.ParquetFile(unquote(parts.path), read_dictionary=list(coded))
-    from pyarrow import fs
+        return fs.LocalFileSystem(), unquote(parts.path)
+    # Hadoop's names of the same stores.
+    known = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}.get(parts.scheme, parts.scheme)
+    try:
+        return fs.FileSystem.from_uri(urlunparse(parts._replace(scheme=known)))
+    except (pa.ArrowInvalid, NotImplementedError):
+        import fsspec
+
+        return fs.PyFileSystem(fs.FSSpecHandler(fsspec.filesystem(known))), f"{parts.netloc}{unquote(parts.path)}"
 
-    system, path = fs.FileSystem.from_uri(uri)
+
+def _open(uri: str, coded: Sequence[str] = ()) -> pq.ParquetFile:
+    """A file whose columns ``coded`` are left as dictionary codes; its footer is read once."""
+    system, path = _system(uri)
     return pq.ParquetFile(system.open_input_file(path), read_dictionary=list(coded))
 
 
@@ -71,9 +84,13 @@ def chunk_frequencies(df: DataFrame, key: str, columns: Sequence[str]) -> DataFr
                 yield pd.DataFrame({"file": [f] * groups, "row_group": np.arange(groups, dtype=np.int64)})
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, pq.ParquetFile] = {}
         for b in batches:
             for f, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                source = _open(f)
+                if f not in opened:
+                    opened.clear()
+                    opened[f] = _open(f, columns)
+                source = opened[f]
                 group = source.metadata.row_group(g)
                 at = {group.column(i).path_in_schema: i for i in range(group.num_columns)}
                 settled, needed = {}, []
@@ -89,7 +106,7 @@ def chunk_frequencies(df: DataFrame, key: str, columns: Sequence[str]) -> DataFr
                     yield _batch(*zip(*rows))
                 if not needed:
                     continue
-                table = _open(f, needed).read_row_group(g, columns=[key, *needed])
+                table = source.read_row_group(g, columns=[key, *needed])
                 loads = table.column(key).combine_chunks()
                 known = loads.drop_null()
                 names, which = np.unique(known.to_numpy(zero_copy_only=False), return_inverse=True)
@@ -121,6 +138,81 @@ def _batch(loads, names, values, n) -> pa.RecordBatch:
     )
 
 
+#: Extrema of texts this long may have been cut short by their writer.
+_WHOLE_TEXT = 60
+
+
+def _extrema(chunk: pq.ColumnChunkMetaData) -> tuple | None:
+    """(nulls, minimum, maximum) of a text chunk by its footer, if these are exact."""
+    c = chunk.statistics
+    if c is None or not c.has_null_count:
+        return None
+    if c.null_count == chunk.num_values:
+        return c.null_count, None, None
+    if not c.has_min_max or not all(isinstance(x, str) and len(x.encode()) < _WHOLE_TEXT for x in (c.min, c.max)):
+        return None
+    return c.null_count, c.min, c.max
+
+
+_PIECES = "column_name string, rows long, nulls long, low string, high string, source string, distinct_by string, value string"
+
+
+def table_chunks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """What is known of each chunk of text columns: one row with its rows, nulls and extrema, and one per distinct value.
+
+    Nulls and extrema come from the footer, distinct values from the dictionary page alone where all of a
+    chunk's pages use it; only a chunk for which either does not hold is read. ``source`` and ``distinct_by``
+    say which it was: footer, dictionary or scan. ``df`` must be a plain scan of Parquet files.
+    """
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if not files:
+        return spark.createDataFrame([], _PIECES)
+    listed = spark.createDataFrame(pd.DataFrame({"file": files})).repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism)))
+
+    kinds = pa.schema([(c, pa.int64() if t == "long" else pa.string()) for c, t in (x.split() for x in _PIECES.split(", "))])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column(0).to_pylist():
+                system, path = _system(uri)
+                with system.open_input_file(path) as raw:
+                    source = pq.ParquetFile(raw)
+                    for g in range(source.metadata.num_row_groups):
+                        group = source.metadata.row_group(g)
+                        at = {group.column(i).path_in_schema: i for i in range(group.num_columns)}
+                        for c in columns:
+                            chunk = group.column(at[c])
+                            known, held, by, how = _extrema(chunk), chunk_dictionary(raw, chunk), "footer", "dictionary"
+                            if known is None or held is None:
+                                cells = source.read_row_group(g, columns=[c]).column(0).cast(pa.string())
+                                if known is None:
+                                    low, high = (pa.compute.min_max(cells.cast(pa.binary()))[x].as_py() for x in ("min", "max")) if len(cells) else (None, None)
+                                    known, by = (cells.null_count, *(None if x is None else x.decode() for x in (low, high))), "scan"
+                                if held is None:
+                                    held, how = cells.unique().drop_null().to_pylist(), "scan"
+                            rows = [(c, group.num_rows, *known, by, how, None), *((c, None, None, None, None, None, None, v) for v in held)]
+                            yield pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds)
+
+    return listed.mapInArrow(pieces, _PIECES)
+
+
+def table_quality(chunks: DataFrame) -> DataFrame:
+    """One row per column of a whole table: rows, nulls, extrema of the texts as stored, distinct values, and chunks by where that came from."""
+    head = chunks.where(F.col("rows").isNotNull()).groupBy("column_name").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("nulls").alias("null_count"),
+        F.min("low").alias("min_text"),
+        F.max("high").alias("max_text"),
+        *[F.count_if(F.col("source") == k).alias(f"extrema_by_{k}") for k in ("footer", "scan")],
+        *[F.count_if(F.col("distinct_by") == k).alias(f"distinct_by_{k}") for k in ("dictionary", "scan")],
+    )
+    # A value reaches this once per chunk, not once per row.
+    values = chunks.where(F.col("value").isNotNull()).groupBy("column_name", "value").agg(F.lit(1).alias("one"))
+    values = values.groupBy("column_name").agg(F.count("*").alias("distinct_count"))
+    return head.join(values, "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+
+
 def scan_frequencies(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """The same table from any DataFrame, by a scan: for sources without footers."""
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), quoted(c).cast("string").alias("value")) for c in columns]))
@@ -129,24 +221,22 @@ def scan_frequencies(df: DataFrame, key: str, columns: Sequence[str]) -> DataFra
 
 
 def values_of(chunks: DataFrame) -> DataFrame:
-    """(load_id, column_name, s, n, padded): each distinct stripped value once; s is null for missing cells."""
+    """(load_id, column_name, s, n, padded, kind, num): each distinct stripped value once, with its type and number; s is null for missing cells."""
     s = strip(F.col("value"))
-    known = F.length(s) > 0
-    d = chunks.select(
-        "load_id", "column_name", F.when(known, s).alias("s"), "n", F.when(known & (s != F.col("value")), F.col("n")).otherwise(0).alias("padded")
-    )
-    return cut(d.groupBy("load_id", "column_name", "s").agg(F.sum("n").alias("n"), F.sum("padded").alias("padded")))
+    d = chunks.select("load_id", "column_name", "value", "n", s.alias("s")).withColumn("s", F.when(F.length("s") > 0, F.col("s")))
+    padded = F.when(F.col("s") != F.col("value"), F.col("n")).otherwise(0)
+    d = d.select("load_id", "column_name", "s", "n", padded.alias("padded")).groupBy("load_id", "column_name", "s").agg(F.sum("n").alias("n"), F.sum("padded").alias("padded"))
+    d = d.withColumn("kind", F.when(F.col("s").isNotNull(), value_type(F.col("s"), "string")))
+    return cut(d.withColumn("num", F.when(F.col("kind") == "number", ascii_digits(F.col("s")).try_cast("double"))))
 
 
-def column_quality(values: DataFrame) -> DataFrame:
+def column_quality(values: DataFrame, ranged: Sequence[str] | None = None) -> DataFrame:
     """One row per load and column: cells, missing, types, padded cells, distinct values, ranges, quartiles.
 
-    Ranges are those of the stripped texts and, over the cells of type number, of the numbers.
+    Ranges are those of the stripped texts and, over the cells of type number, of the numbers; quartiles are those of the
+    columns ``ranged``, or of all.
     """
-    kind = F.when(F.col("s").isNotNull(), value_type(F.col("s"), "string"))
-    num = number(F.col("s"), "string")
-    d = values.withColumn("kind", kind).withColumn("num", num)
-    stats = d.groupBy("load_id", "column_name").agg(
+    stats = values.groupBy("load_id", "column_name").agg(
         F.sum("n").alias("cells"),
         F.sum(F.when(F.col("s").isNull(), F.col("n")).otherwise(0)).alias("missing_count"),
         F.sum("padded").alias("whitespace_count"),
@@ -159,7 +249,10 @@ def column_quality(values: DataFrame) -> DataFrame:
     )
     stats = stats.withColumn("missing_ratio", F.col("missing_count") / F.col("cells"))
     stats = stats.withColumn("mixed_types", sum(F.when(F.col(f"n_{t}") > 0, 1).otherwise(0) for t in _TYPES) > 1)
-    q = quantiles(d, ["load_id", "column_name"], "num", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    numbers = values if ranged is None else values.where(F.col("column_name").isin(*ranged))
+    numbers = numbers.where(F.col("num").isNotNull()).select("load_id", "column_name", "num", "n")
+    numbers = numbers.groupBy("load_id", "column_name", "num").agg(F.sum("n").alias("n"))  # 1 and 1.0
+    q = quantiles(numbers, ["load_id", "column_name"], "num", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75}, range_cuts(values, "num", 1_000_000))
     return stats.join(q, ["load_id", "column_name"], "left")
 
 
@@ -200,9 +293,9 @@ def load_findings(
     """
     if min(missing_change, median_move, far, share_move) < 0:
         raise EngineError("Thresholds must not be negative.")
-    stats = cut(column_quality(values))
-    order = preceding(loads)
     used = ["cells", "missing_count", "distinct_count", "min_number", "max_number", "q1", "median", "q3"]
+    stats = cut(column_quality(values, numeric).select("load_id", "column_name", "mixed_types", "whitespace_count", *used))
+    order = preceding(loads)
     past = stats.select(F.col("load_id").alias("before"), "column_name", *[F.col(c).alias(f"was_{c}") for c in used])
     d = stats.join(order, "load_id", "left").join(past, ["before", "column_name"], "left")
     d = d.join(distribution_shift(values, stats, order, categorical), ["load_id", "column_name"], "left")

@@ -679,6 +679,11 @@ ORACLES["p3_found"] = f"""WITH cells AS ({" UNION ALL ".join(f"SELECT load_id, '
     UNION ALL SELECT load_id, column_name, 'range' FROM j WHERE column_name IN ('age', 'score') AND greatest(hi - pq2, pq2 - lo) > 10 * iqr
     UNION ALL SELECT load_id, column_name, 'drift' FROM x WHERE cw > 0 AND cp > 0 AND shift > 0.35"""
 
+ORACLES["p3_columns"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS null_count, min({c}) AS min_text, max({c}) AS max_text, count(DISTINCT {c}) AS distinct_count FROM quality_loads"
+    for c in _TEXTS
+)
+
 _CITY = f"CASE WHEN city NOT IN ({_TOKENS}) AND length({_strip('city')}) > 0 THEN city END"
 ORACLES["p6_found"] = f"""WITH v AS (SELECT person_id, site_id, recorded_on, (age BETWEEN 0 AND 120) IS TRUE AS age, (score BETWEEN 0 AND 100) IS TRUE AS score, ({_CITY}) IS NOT NULL AS city FROM people),
     c AS ({" UNION ALL ".join(f"SELECT person_id, site_id, recorded_on, '{c}' AS column_name, {c} AS has FROM v" for c in ("age", "score", "city"))}),

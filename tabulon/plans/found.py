@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.operators.footer_profile import chunk_frequencies, column_quality, load_findings, values_of
+from tabulon.operators.footer_profile import chunk_frequencies, column_quality, load_findings, table_chunks, table_quality, values_of
 from tabulon.operators.impute import fill_missing
 from tabulon.operators.nearby import containing_regions, draw_pivots, near_pairs, valid_points
 from tabulon.operators.rejects import load_records, with_delimiter
@@ -51,6 +51,11 @@ def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return column_quality(values_of(chunk_frequencies(table(spark, sf_dir, "quality_loads"), "load_id", PROFILED)))
 
 
+def p3_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = table_quality(table_chunks(table(spark, sf_dir, "quality_loads"), PROFILED))
+    return whole.select("column_name", "rows", "null_count", "min_text", "max_text", "distinct_count")
+
+
 def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     city = F.col("city")
     return fill_missing(
@@ -72,6 +77,7 @@ QUERIES = {
     "p2_rows": p2_rows,
     "p3_found": p3_found,
     "p3_profile": p3_profile,
+    "p3_columns": p3_columns,
     "p6_found": p6_found,
     "p6_filled": p6_filled,
 }

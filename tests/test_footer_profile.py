@@ -70,3 +70,29 @@ def test_empty(rows):
     v = values_of(rows([], "load_id long, column_name string, value string, n long"))
     assert column_quality(v).count() == 0
     assert load_findings(v, rows([], "load_id long, feed_id long, load_no int"), numeric=["age"], categorical=["city"]).count() == 0
+
+
+def test_whole_columns_by_footers_and_dictionaries(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tabulon.operators.footer_profile import table_chunks, table_quality
+
+    few = [None if i % 7 == 0 else f"v{i % 40:02d}" for i in range(3000)]
+    many = [f"{i * 7919 % 3000:05d}\u00e9" for i in range(3000)]
+    long = ["x" * 100 + str(i % 3) for i in range(3000)]
+    t = pa.table({"few": few, "many": many, "long": long, "none": pa.array([None] * 3000, pa.string())})
+    for name, options in (("a", {}), ("b", {"compression": "zstd", "data_page_version": "2.0"}), ("c", {"use_dictionary": ["few"]}), ("d", {"dictionary_pagesize_limit": 500}), ("e", {"write_statistics": False})):
+        pq.write_table(t, tmp_path / f"{name}.parquet", row_group_size=1100, **options)
+        got = {r["column_name"]: r for r in table_quality(table_chunks(spark.read.parquet(str(tmp_path / f"{name}.parquet")), list(t.column_names))).collect()}
+        for c in t.column_names:
+            v = [x for x in t.column(c).to_pylist() if x is not None]
+            r = got[c]
+            assert (r["rows"], r["null_count"], r["distinct_count"]) == (3000, 3000 - len(v), len(set(v))), (name, c)
+            assert (r["min_text"], r["max_text"]) == ((min(v), max(v)) if v else (None, None))
+            assert r["extrema_by_footer"] + r["extrema_by_scan"] == 3 == r["distinct_by_dictionary"] + r["distinct_by_scan"]
+        assert got["few"]["distinct_by_dictionary"] == (3 if name != "d" else got["few"]["distinct_by_dictionary"])
+        # A dictionary that outgrows its page is given up within the chunk.
+        assert got["many"]["distinct_by_scan"] == 3 if name == "c" else got["many"]["distinct_by_scan"] > 0 if name == "d" else got["many"]["distinct_by_scan"] == 0
+        assert got["few"]["extrema_by_footer"] == (0 if name == "e" else 3)
+        assert got["long"]["extrema_by_footer"] == 0
