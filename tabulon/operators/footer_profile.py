@@ -252,7 +252,7 @@ def column_quality(values: DataFrame, ranged: Sequence[str] | None = None) -> Da
     numbers = values if ranged is None else values.where(F.col("column_name").isin(*ranged))
     numbers = numbers.where(F.col("num").isNotNull()).select("load_id", "column_name", "num", "n")
     numbers = numbers.groupBy("load_id", "column_name", "num").agg(F.sum("n").alias("n"))  # 1 and 1.0
-    q = quantiles(numbers, ["load_id", "column_name"], "num", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75}, range_cuts(values, "num", 1_000_000))
+    q = quantiles(numbers, ["load_id", "column_name"], "num", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75}, range_cuts(values, "num"))
     return stats.join(q, ["load_id", "column_name"], "left")
 
 

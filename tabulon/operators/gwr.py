@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.errors import EngineError
@@ -32,6 +32,17 @@ def bisquare(d: np.ndarray, reach: np.ndarray) -> np.ndarray:
     return np.where(reach > 0, w, 1.0)
 
 
+def kernel_weights(edges: DataFrame) -> DataFrame:
+    """(i, j, w): the kernel's weights of neighbours (i, j, distance), the farthest of each i at its reach."""
+
+    @F.pandas_udf("double")
+    def weight(d: pd.Series, reach: pd.Series) -> pd.Series:
+        return pd.Series(bisquare(d.to_numpy(float), reach.to_numpy(float)))
+
+    reach = F.max("distance").over(Window.partitionBy("i"))
+    return edges.withColumn("reach", reach).select("i", "j", weight("distance", "reach").alias("w"))
+
+
 class LocalFits:
     """The rows held by every task, and the local fits of some focal rows for a bandwidth."""
 

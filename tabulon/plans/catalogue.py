@@ -14,6 +14,7 @@ from tabulon.operators import clean as C
 from tabulon.operators import profile as P
 from tabulon.operators.correlation import correlate
 from tabulon.operators.design import design_diagnostics
+from tabulon.operators.gwr import kernel_weights
 from tabulon.operators.forest import fit_forest, tune_bandwidth, tune_parameters
 from tabulon.operators.moran import moran_i, normal_moments, permuted, weight_sums
 from tabulon.operators.numeric import coercion_report, complete_cases, prepare
@@ -342,7 +343,8 @@ def ols_metrics(spark, d):
 
 @query(
     f"""WITH m AS ({_MOMENTS}) SELECT round(1 / (1 - cid * cid / (vi * vd)), 6) AS max_vif, round(sqrt(greatest(vi, vd) / least(vi, vd)), 6) AS scale_ratio,
-    round(sqrt((1 + abs(cid / sqrt(vi * vd))) / (1 - abs(cid / sqrt(vi * vd)))), 6) AS condition_number, 3 AS rank FROM m"""
+    round(sqrt((1 + abs(cid / sqrt(vi * vd))) / (1 - abs(cid / sqrt(vi * vd)))), 6) AS condition_number,
+      1 + (vi > 0)::INTEGER + (vi > 0 AND vd > 0 AND 1 - cid * cid / (vi * vd) > 1e-12)::INTEGER AS rank FROM m"""
 )
 def design_diagnosis(spark, d):
     p = prepare(table(spark, d, "spatial_analysis"), ["outcome", "income", "density"])
@@ -352,6 +354,44 @@ def design_diagnosis(spark, d):
     return spark.createDataFrame([row], "max_vif double, scale_ratio double, condition_number double, rank int")
 
 
+@query(
+    f"""WITH m AS ({_MOMENTS}), b AS (SELECT *, (vd * cio - cid * cdo) / (vi * vd - cid * cid) AS b1, (vi * cdo - cid * cio) / (vi * vd - cid * cid) AS b2 FROM m),
+    s AS (SELECT *, mo - b1 * mi - b2 * md AS b0, n * (vo - b1 * cio - b2 * cdo) / (n - 3) AS s2, n * (vi * vd - cid * cid) AS det FROM b),
+    v AS (SELECT *, s2 * vd / det AS v1, s2 * vi / det AS v2, s2 / n + s2 * (mi * mi * vd + md * md * vi - 2 * mi * md * cid) / det AS v0 FROM s)
+    SELECT 'const' AS term, round(sqrt(v0), 8) AS standard_error, round(b0 / sqrt(v0), 4) AS statistic FROM v
+    UNION ALL SELECT 'income', round(sqrt(v1), 8), round(b1 / sqrt(v1), 4) FROM v UNION ALL SELECT 'density', round(sqrt(v2), 8), round(b2 / sqrt(v2), 4) FROM v"""
+)
+def ols_inference(spark, d):
+    r = regress(table(spark, d, "spatial_analysis").select("income", "density", "outcome"), "ols", "outcome", ["income", "density"])
+    rows = [(c["term"], round(c["standard_error"], 8), round(c["statistic"], 4)) for c in r["regression"]["coefficients"]]
+    return spark.createDataFrame(rows, "term string, standard_error double, statistic double")
+
+
+_RETURNED = "CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END"
+
+
+@query(
+    f"""SELECT 'const' AS term, round(sum({_RETURNED}), 2) AS total FROM lineitem UNION ALL SELECT 'l_quantity', round(sum(l_quantity * {_RETURNED}), 2) FROM lineitem
+    UNION ALL SELECT 'l_discount', round(sum(l_discount * {_RETURNED}), 2) FROM lineitem"""
+)
+def logit_moments(spark, d):
+    # At the maximum the fitted probabilities have the outcomes' totals, each term's with its column.
+    t = table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"), "l_quantity", "l_discount")
+    b = {c["term"]: c["estimate"] for c in analyze(t, "logistic", "returned", ["l_quantity", "l_discount"])["regression"]["coefficients"]}
+    terms = {"const": F.lit(1.0), "l_quantity": F.col("l_quantity"), "l_discount": F.col("l_discount")}
+    eta = sum(terms[c] * F.lit(v) for c, v in b.items())
+    sums = t.agg(*[F.sum(x / (1 + F.exp(-eta))).alias(c) for c, x in terms.items()])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("term"), F.round(c, 2).alias("total")) for c in terms])).alias("r")).select("r.*")
+
+
+@query(
+    """WITH s AS (SELECT avg(income) AS m, stddev_pop(income) AS d FROM spatial_analysis WHERE NOT isnan(income))
+    SELECT point_id, CASE WHEN NOT isnan(income) THEN round_even((income - m) / d, 6) END AS income FROM spatial_analysis, s"""
+)
+def scale_with_missing(spark, d):
+    return C.scale(table(spark, d, "spatial_analysis").select("point_id", "income"), ["income"], "z_score")[0].select("point_id", F.when(~F.isnan("income"), F.col("income")).alias("income"))
+
+
 @query()
 def logit_fit(spark, d):
     t = table(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"), "l_quantity", "l_discount")
@@ -427,12 +467,8 @@ def knn_row_standardised(spark, d):
     SELECT e.i, e.j, round(CASE WHEN f <= 0 THEN 1.0 ELSE power(1 - power(distance / f, 2), 2) END, 9) AS w FROM e JOIN m ON e.i = m.i"""
 )
 def bisquare_weights(spark, d):
-    from pyspark.sql import Window
-
     e = nearest(coordinates(_supplier(spark, d), "id", "x", "y", "projected"), 8)
-    f = F.max("distance").over(Window.partitionBy("i"))
-    w = F.when(f <= 0, 1.0).otherwise(F.pow(1 - F.pow(F.col("distance") / f, 2), 2))
-    return e.select("i", "j", F.round(w, 9).alias("w"))
+    return kernel_weights(e).withColumn("w", F.round("w", 9))
 
 
 @query(f"{_EDGES} SELECT e.i AS id, round(avg(p.v), 6) AS lag_v FROM e JOIN p ON e.j = p.id GROUP BY e.i")
@@ -475,11 +511,7 @@ def points_row_standardised(spark, d):
 
 @query()
 def points_bisquare(spark, d):
-    from pyspark.sql import Window
-
-    e = nearest(coordinates(_points(spark, d), "point_id", "longitude", "latitude", "geographic"), 8)
-    f = F.max("distance").over(Window.partitionBy("i"))
-    return e.select("i", "j", F.when(f <= 0, 1.0).otherwise(F.pow(1 - F.pow(F.col("distance") / f, 2), 2)).alias("w"))
+    return kernel_weights(nearest(coordinates(_points(spark, d), "point_id", "longitude", "latitude", "geographic"), 8))
 
 
 @query()
@@ -539,6 +571,16 @@ def knn_points(spark, d):
     return nearest(coordinates(t, "point_id", "longitude", "latitude", "geographic"), 8)
 
 
+@query(
+    """WITH p AS (SELECT point_id AS id, cos(radians(latitude)) * cos(radians(longitude)) AS x, cos(radians(latitude)) * sin(radians(longitude)) AS y, sin(radians(latitude)) AS z
+      FROM spatial_analysis WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90),
+    n AS (SELECT a.id AS i, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 8) AS d FROM p a JOIN p b ON a.id <> b.id GROUP BY a.id)
+    SELECT i, unnest(range(1, 9))::INTEGER AS rank, round(sqrt(unnest(d)), 9) AS distance FROM n"""
+)
+def knn_distances(spark, d):
+    return knn_points(spark, d).select("i", "rank", F.round("distance", 9).alias("distance"))
+
+
 def _spatial(spark: SparkSession, d: str, method: str) -> dict:
     return analyze_spatial(_numbered_points(spark, d), method, "longitude", "latitude", "outcome", ["income", "density"])
 
@@ -571,6 +613,40 @@ def gwr_local(spark, d):
     return analyze_spatial(_numbered_supplier(spark, d), "gwr", "x", "y", "t", ["n", "u"], kind="projected", neighbors=8)["gwr"]["local"]
 
 
+_NUMBERED_SUPPLIER = """(SELECT row_number() OVER (ORDER BY s_suppkey) AS id, ((s_suppkey * 7919) % 10007)::DOUBLE AS x, ((s_suppkey * 104729) % 10009)::DOUBLE AS y, s_nationkey::DOUBLE AS n,
+    sin(((s_suppkey * 7919) % 10007) / 3000.0) * 20 + s_nationkey * 0.7 - ((s_suppkey * 31) % 97) * 0.1 + s_acctbal / 5000 AS t FROM supplier)"""
+
+
+@query(
+    f"""WITH p AS {_NUMBERED_SUPPLIER}, e AS (SELECT a.id AS i, b.n, b.t, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d,
+      row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS rank FROM p a, p b),
+    f AS (SELECT i, max(d) * 1.0000001 AS reach FROM e WHERE rank <= 40 GROUP BY i),
+    w AS (SELECT i, n, t, CASE WHEN d < reach THEN power(1 - (d / reach) ** 2, 2) ELSE 0 END AS w FROM e JOIN f USING (i)),
+    s AS (SELECT i, sum(w) AS s, sum(w * n) AS sn, sum(w * t) AS st, sum(w * n * n) AS snn, sum(w * n * t) AS snt FROM w GROUP BY i)
+    SELECT i + 1 AS source_row, round((snt - sn * st / s) / (snn - sn * sn / s), 6) AS slope, round((st - (snt - sn * st / s) / (snn - sn * sn / s) * sn) / s, 6) AS intercept FROM s"""
+)
+def gwr_fixed(spark, d):
+    local = analyze_spatial(_numbered_supplier(spark, d), "gwr", "x", "y", "t", ["n"], kind="projected", neighbors=8, bandwidth=40)["gwr"]["local"]
+    return local.select("source_row", F.round("coefficient_n", 6).alias("slope"), F.round("coefficient_CONSTANT", 6).alias("intercept"))
+
+
+@query(
+    f"""WITH p AS {_NUMBERED_SUPPLIER}, c AS (SELECT count(*)::DOUBLE AS m, avg(n) AS mn, avg(t) AS mt, regr_slope(t, n) AS b, regr_intercept(t, n) AS a, sum((n - (SELECT avg(n) FROM p)) ** 2) AS sxx FROM p),
+    e AS (SELECT i, j FROM (SELECT a.id AS i, b.id AS j, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), b.id) AS rank FROM p a JOIN p b ON a.id <> b.id) WHERE rank <= 8),
+    r AS (SELECT id, n, t, t - a - b * n AS res, a + b * n AS fit FROM p, c),
+    l AS (SELECT e.i AS id, sum(q.res) / 8 AS we, sum(q.t) / 8 AS wy, sum(q.fit) / 8 AS wf FROM e JOIN r q ON q.id = e.j GROUP BY e.i),
+    z AS (SELECT sum(res * res) AS ee, sum(res * we) AS ewe, sum(res * wy) AS ewy, var_pop(wf) * count(*) - (covar_pop(wf, n) * count(*)) ** 2 / max(sxx) AS g FROM r JOIN l USING (id), c),
+    k AS (SELECT count(*) / 64.0 + (SELECT count(*) FROM e a JOIN e b ON a.i = b.j AND a.j = b.i) / 64.0 AS tr FROM e),
+    d AS (SELECT ewe / (ee / m) AS de, ewy / (ee / m) AS dl, g / (ee / m) + tr AS j, tr FROM z, k, c)
+    SELECT 'LM-Error' AS name, round(de * de / tr, 6) AS statistic FROM d UNION ALL SELECT 'LM-Lag', round(dl * dl / j, 6) FROM d
+    UNION ALL SELECT 'Robust LM-Error', round((de - tr / j * dl) ** 2 / (tr * (1 - tr / j)), 6) FROM d UNION ALL SELECT 'Robust LM-Lag', round((dl - de) ** 2 / (j - tr), 6) FROM d
+    UNION ALL SELECT 'LM-SARMA', round(de * de / tr + (dl - de) ** 2 / (j - tr), 6) FROM d"""
+)
+def lm_statistics(spark, d):
+    r = analyze_spatial(_numbered_supplier(spark, d), "slm", "x", "y", "t", ["n"], kind="projected", neighbors=8, permutations=19)
+    return spark.createDataFrame([(t["name"], round(t["statistic"], 6)) for t in r["model_selection"]["tests"]], "name string, statistic double")
+
+
 @query()
 def report_spatial(spark, d):
     head, rows = spatial_report(_spatial(spark, d, "sem"))
@@ -615,9 +691,14 @@ def rule_coordinates(spark, d):
     return spark.createDataFrame([rules.detect_coordinates(table(spark, d, "spatial_analysis").columns)], "kind string, x_column string, y_column string")
 
 
-@query("SELECT row_number FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS row_number FROM customer) WHERE row_number <= 100")
+@query(
+    """SELECT row_number, c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM
+    (SELECT *, row_number() OVER (ORDER BY c_custkey) AS row_number FROM customer) WHERE row_number <= 100"""
+)
 def preview_rows(spark, d):
-    return preview(number_rows(table(spark, d, "customer"), "c_custkey")).select("row_number")
+    shown = preview(number_rows(table(spark, d, "customer"), "c_custkey"))
+    fields = F.from_json("record", "c_custkey long, c_name string, c_nationkey long, c_acctbal double, c_mktsegment string")
+    return shown.select("row_number", fields.alias("r")).select("row_number", "r.*")
 
 
 # --- the dealt problems of the core ------------------------------------------------------------------

@@ -83,8 +83,8 @@ def attach(rows: DataFrame, table: DataFrame, on: list[str], weight: str, total:
     return dealt.join(each.hint("shuffle_hash"), [*on, salt], how).drop(salt)
 
 
-#: Rows of one part of a ranking or of the values looked through for a quantile, about.
-PART_ROWS = 100_000
+#: Rows of one part of a ranking, and of the values looked through for a quantile, about.
+PART_ROWS, RANGE_ROWS = 200_000, 1_000_000
 
 
 def ranked(df: DataFrame, keys: list[str], order: str, rank: str, buckets: int | None = None, weight: str | None = None) -> DataFrame:
@@ -112,7 +112,7 @@ def ranked(df: DataFrame, keys: list[str], order: str, rank: str, buckets: int |
     return d.join(sums, [*keys, b]).withColumn(rank, F.col(inner) + F.col(off)).drop(h, b, off, inner)
 
 
-def range_cuts(df: DataFrame, value: str, part_rows: int = PART_ROWS) -> list[float]:
+def range_cuts(df: DataFrame, value: str, part_rows: int = RANGE_ROWS) -> list[float]:
     """Values that cut all rows' values into parts of about ``part_rows``, at most 10,000; few rows are not cut.
 
     They come from a mergeable sketch and only steer how the work is spread.
