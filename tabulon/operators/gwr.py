@@ -1,8 +1,8 @@
 """Geographically weighted regression: adaptive bisquare kernel, golden-section bandwidth, local results.
 
 Each observation is a focal point with its own weighted least squares over all rows, so the work grows
-with the square of the rows; ``max_rows`` guards it, and bounds what every task holds. Focal points are
-spread over the tasks and solved in batches.
+with the square of the rows. Every task holds the rows (8 bytes a cell); focal points are spread over the
+tasks and solved in batches, from weighted moments of the rows inside the kernel.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from tabulon.functions.special import finite, normal_two_sided
 from tabulon.functions.sphere import haversine
 from tabulon.operators.guards import enough, require
 
-MAX_ROWS = 5_000
+#: Pairs of a focal point and a row whose distances are held at once.
+PAIRS = 1_000_000
 _FAILED = "A local fit has no solution: its rows share a position, its columns repeat one another, or there are too few."
 
 
@@ -49,6 +50,7 @@ class LocalFits:
     def __init__(self, xy: np.ndarray, x: np.ndarray, y: np.ndarray, spherical: bool):
         self.xy = np.radians(xy) if spherical else xy
         self.x = np.column_stack((np.ones(len(x)), x))
+        self.xx = (self.x[:, :, None] * self.x[:, None, :]).reshape(len(x), -1)
         self.y, self.spherical = y, spherical
 
     def distances(self, focal: np.ndarray) -> np.ndarray:
@@ -57,25 +59,39 @@ class LocalFits:
             return haversine(a[..., 0], a[..., 1], b[..., 0], b[..., 1], 6371.0)
         return np.sqrt(((a - b) ** 2).sum(axis=2))
 
-    def weights(self, focal: np.ndarray, bandwidth: int) -> np.ndarray:
+    def inside(self, focal: np.ndarray, bandwidth: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """(weights, the numbers of their rows) inside the kernels; no numbers if that is most of the rows, in order."""
         d = self.distances(focal)
-        # The farthest neighbour lies just inside the kernel.
-        reach = np.partition(d, bandwidth - 1, axis=1)[:, bandwidth - 1 : bandwidth] * 1.0000001
-        return bisquare(d, reach)
-
-    def fit(self, focal: np.ndarray, bandwidth: int) -> dict[str, np.ndarray]:
-        w = self.weights(focal, bandwidth)
-        xw = w[:, :, None] * self.x[None]
-        a = np.einsum("fnk,nl->fkl", xw, self.x)
-        c = np.linalg.solve(a, xw.transpose(0, 2, 1))  # (focal, k, n): the rows' shares in each coefficient
-        beta = c @ self.y
+        part = np.partition(d, bandwidth - 1, axis=1)
+        # The farthest neighbour lies just inside the kernel, and so does whatever is as far.
+        reach = part[:, bandwidth - 1 : bandwidth] * 1.0000001
+        if 4 * bandwidth > d.shape[1] or not (reach > 0).all():
+            return bisquare(d, reach), None
+        most = int((d < reach).sum(axis=1).max())
+        at = np.argpartition(d, most - 1, axis=1)[:, :most]
+        return bisquare(np.take_along_axis(d, at, axis=1), reach), at
+
+    def moments(self, w: np.ndarray, at: np.ndarray | None, columns: np.ndarray) -> np.ndarray:
+        """The weighted sums of columns at each focal point."""
+        return w @ columns if at is None else np.einsum("fm,fmc->fc", w, columns[at])
+
+    def fit(self, focal: np.ndarray, bandwidth: int, *, errors: bool = True) -> dict[str, np.ndarray]:
+        w, at = self.inside(focal, bandwidth)
+        k = self.x.shape[1]
+        square = lambda m: m.reshape(-1, k, k)
+        sums = self.moments(w, at, np.column_stack((self.xx, self.x * self.y[:, None])))
+        inverse = np.linalg.inv(square(sums[:, : k * k]))
+        beta = np.einsum("fkl,fl->fk", inverse, sums[:, k * k :])
         own = self.x[focal]
-        hat = np.einsum("fk,fkn->fn", own, c)
-        return {"beta": beta, "predicted": (own * beta).sum(axis=1), "s": hat[np.arange(len(focal)), focal], "cct": (c * c).sum(axis=2)}
+        # A focal point has distance 0 to itself, so its own weight is 1.
+        out = {"beta": beta, "predicted": (own * beta).sum(axis=1), "s": np.einsum("fk,fkl,fl->f", own, inverse, own)}
+        if errors:
+            out["cct"] = np.einsum("fkl,flm,fkm->fk", inverse, square(self.moments(w * w, at, self.xx)), inverse)
+        return out
 
 
-def _batches(focal: np.ndarray, n: int, k: int) -> Iterator[np.ndarray]:
-    step = max(1, 4_000_000 // (n * (k + 1)))
+def _batches(focal: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    step = max(1, PAIRS // n)
     for s in range(0, len(focal), step):
         yield focal[s : s + step]
 
@@ -106,15 +122,13 @@ def _golden(score, low: int, high: int) -> tuple[int, list[tuple[int, float]]]:
     return int(best), sorted(seen.items())
 
 
-def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequence[str], spherical: bool, *, bandwidth: int | None = None, max_rows: int = MAX_ROWS) -> dict:
+def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequence[str], spherical: bool, *, bandwidth: int | None = None) -> dict:
     """Bandwidth, metrics, coefficient summaries and the local results (a DataFrame with every row).
 
     ``rows`` holds (id, source_row, coordinates, columns) of complete cases with unique ids.
     """
     spark = rows.sparkSession
     n = rows.count()
-    if n > max_rows:
-        raise EngineError(f"Geographically weighted regression takes at most {max_rows} complete rows, not {n}.")
     k = len(independent) + 1
     low = max(2 * k + 1, 5)
     require([enough(n, low + 1)])
@@ -122,7 +136,7 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
     ids = data["id"].to_numpy()
     parts = (data[[x, y]].to_numpy(float), data[list(independent)].to_numpy(float), data[dependent].to_numpy(float), spherical)
     model = LocalFits(*parts)
-    held = spark.sparkContext.broadcast(parts)  # at most max_rows rows
+    held = spark.sparkContext.broadcast(parts)
     width = max(1, min(n, 4 * spark.sparkContext.defaultParallelism))
     focal = spark.range(0, n, 1, width)
 
@@ -131,8 +145,8 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
             m = LocalFits(*held.value)
             for b in batches:
                 rss = tr = 0.0
-                for part in _batches(b["id"].to_numpy(), n, k):
-                    f = m.fit(part, bw)
+                for part in _batches(b["id"].to_numpy(), n):
+                    f = m.fit(part, bw, errors=False)
                     rss += float(((m.y[part] - f["predicted"]) ** 2).sum())
                     tr += float(f["s"].sum())
                 yield pd.DataFrame({"rss": [rss], "tr": [tr]})
@@ -146,7 +160,7 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = LocalFits(*held.value)
             for b in batches:
-                for part in _batches(b["id"].to_numpy(), n, k):
+                for part in _batches(b["id"].to_numpy(), n):
                     f = m.fit(part, bw)
                     out = {"id": part, "predicted": f["predicted"], "s": f["s"]}
                     for i in range(k):
@@ -175,11 +189,12 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
     def share(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = LocalFits(*held.value)
         for b in batches:
-            for part in _batches(b["id"].to_numpy(), n, k):
-                w = m.weights(part, bandwidth)
-                mean = (w @ m.y) / w.sum(axis=1)
-                t = (w * (m.y[None] - mean[:, None]) ** 2).sum(axis=1)
-                r = w @ residual**2
+            for part in _batches(b["id"].to_numpy(), n):
+                w, at = m.inside(part, bandwidth)
+                y = m.y[None] if at is None else m.y[at]
+                mean = (w * y).sum(axis=1) / w.sum(axis=1)
+                t = (w * (y - mean[:, None]) ** 2).sum(axis=1)
+                r = m.moments(w, at, residual[:, None] ** 2)[:, 0]
                 with np.errstate(all="ignore"):
                     yield pd.DataFrame({"id": part, "local_r_squared": np.where(t > 0, 1.0 - r / t, np.nan)})
 
