@@ -1,7 +1,7 @@
 """Regression forests in numpy, all trees of a forest grown level by level at once, and Shapley values.
 
-Made for thousands of small local forests inside Arrow batches: one forest costs a few dozen array
-operations per level, whatever its number of trees.
+One forest costs a few dozen array operations per level, whatever its number of trees. ``trees.java`` does the same
+with the same random numbers, row by row, and is what queries run; this one is for single forests and tells what it must give.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ class Forest:
                     better = np.isfinite(gain[at]) & np.where(level, lot[f, node_at] > drawn_lot[node_at], gain[at] > best[node_at])
                     at, node_at = at[better], node_at[better]
                     best[node_at], bf[node_at], drawn_lot[node_at] = gain[at], f, lot[f, node_at]
-                    bt[node_at] = (v[at] + v[at + 1]) / 2
+                    mid = (v[at] + v[at + 1]) / 2
+                    bt[node_at] = np.where(mid < v[at + 1], mid, v[at])  # between neighbouring numbers there is none
             split = np.flatnonzero(bf >= 0)
             feature[-1][:] = bf
             threshold[-1][:] = bt
