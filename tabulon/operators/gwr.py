@@ -97,7 +97,7 @@ def _batches(focal: np.ndarray, n: int) -> Iterator[np.ndarray]:
 
 
 def _golden(score, low: int, high: int) -> tuple[int, list[tuple[int, float]]]:
-    """Golden section over whole numbers; each is scored once."""
+    """Golden section over whole numbers; each is scored once. Where neither of two has a finite score, larger ones are tried."""
     seen: dict[int, float] = {}
 
     def at(v: int) -> float:
@@ -111,7 +111,7 @@ def _golden(score, low: int, high: int) -> tuple[int, list[tuple[int, float]]]:
     best = b
     for _ in range(200):
         fb, fd = at(b), at(d)
-        if fb <= fd:
+        if fb <= fd and fb < math.inf:
             best, c, d = b, d, b
             b = round(a + delta * abs(c - a))
         else:
@@ -146,7 +146,11 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
             for b in batches:
                 rss = tr = 0.0
                 for part in _batches(b["id"].to_numpy(), n):
-                    f = m.fit(part, bw, errors=False)
+                    try:
+                        f = m.fit(part, bw, errors=False)
+                    except np.linalg.LinAlgError:  # too few rows for some local fit: no bandwidth to take
+                        rss = math.inf
+                        break
                     rss += float(((m.y[part] - f["predicted"]) ** 2).sum())
                     tr += float(f["s"].sum())
                 yield pd.DataFrame({"rss": [rss], "tr": [tr]})
@@ -237,6 +241,6 @@ def fit_gwr(rows: DataFrame, x: str, y: str, dependent: str, independent: Sequen
 
 
 def _aicc(n: int, rss: float, tr: float) -> float:
-    if rss <= 0 or n - tr - 2 <= 0:
+    if not 0 < rss < math.inf or n - tr - 2 <= 0:
         return math.inf
     return n * (math.log(2 * math.pi) + 1 + math.log(rss / n)) + 2 * n * (tr + 1) / (n - tr - 2)

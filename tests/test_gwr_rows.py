@@ -41,3 +41,16 @@ def test_moments_match_the_hat_matrix(bandwidth):
     for k, i in enumerate(range(0, 300, 50)):
         beta, s, cct = by_hand(p, i, bandwidth)
         assert f["beta"][k] == pytest.approx(beta) and f["s"][k] == pytest.approx(s) and f["cct"][k] == pytest.approx(cct)
+
+
+def test_search_passes_over_bandwidths_without_a_fit(spark):
+    n = 400
+    p = sample(n)
+    # Runs of one value, so that small kernels hold a constant column: their local fits have no solution.
+    p["a"] = (p.px // 60 + 5 * (p.py // 60)) % 4
+    p["v"] = 2 * p.a + np.sin(p.px / 90) + p.py / 50
+    rows = p.assign(id=np.arange(n), source_row=np.arange(n) + 2)[["id", "source_row", "px", "py", "v", "a"]]
+    r = fit_gwr(spark.createDataFrame(rows), "px", "py", "v", ["a"], False)
+    scores = dict(r["search"])
+    assert np.isinf(list(scores.values())).any() and np.isfinite(scores[r["bandwidth"]])
+    assert r["local"].count() == n
