@@ -20,6 +20,7 @@ from tabulon.errors import EngineError
 from tabulon.functions.special import chi2_sf, finite, normal_two_sided
 from tabulon.operators.design import cross_products
 from tabulon.operators.graph import Graph
+from tabulon.operators.near import NearGraph
 from tabulon.operators.weights import lag
 from tabulon.runtime import cut, quoted
 
@@ -34,18 +35,23 @@ MODELS = ("slm", "sem", "sdm")
 class LagFrame:
     """Standardised columns with their lags, cut from the lineage, and their cross-products."""
 
-    def __init__(self, rows: DataFrame, edges: DataFrame, y: str, xs: Sequence[str], stats: dict[str, dict[str, float]], n: int):
+    def __init__(self, rows: DataFrame, edges: DataFrame | NearGraph, y: str, xs: Sequence[str], stats: dict[str, dict[str, float]], n: int):
         self.n, self.xs, self.y, self.edges = n, list(xs), y, edges
         self.mean = np.array([stats[c]["avg"] for c in xs])
         self.scale = np.array([stats[c]["std"] or 1.0 for c in xs])
         self.y_mean, self.y_scale = stats[y]["avg"], stats[y]["std"] or 1.0
+        self.x = ["one", *(f"x{i}" for i in range(len(xs)))]
+        if isinstance(edges, NearGraph):  # of the columns xs, y
+            edges.standardise(np.append(self.mean, self.y_mean), np.append(self.scale, self.y_scale))
+            own = [*self.x, "y"]
+            self.df, self.columns, self.gram = edges, [*own, *self.w(own), *(f"t_{c}" for c in self.x)], edges.gram()
+            return
         z = rows.select(
             "id",
             F.lit(1.0).alias("one"),
             *[((quoted(c) - F.lit(float(m))) / F.lit(float(s))).alias(f"x{i}") for i, (c, m, s) in enumerate(zip(xs, self.mean, self.scale))],
             ((quoted(y) - F.lit(float(self.y_mean))) / F.lit(float(self.y_scale))).alias("y"),
         )
-        self.x = ["one", *(f"x{i}" for i in range(len(xs)))]
         z = cut(z)
         out = z.join(lag(edges, z, [*self.x, "y"], "w_"), "id", "left")
         back = edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")
@@ -61,6 +67,24 @@ class LagFrame:
     def w(self, names: Sequence[str]) -> list[str]:
         return [f"w_{c}" for c in names]
 
+    def vector(self, of: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Coefficients of a vector of a ``NearGraph``: of 1, the xs and y, and of their lags."""
+        own = [*self.x, "y"]
+        return np.array([of.get(c, 0.0) for c in own]), np.array([of.get(c, 0.0) for c in self.w(own)])
+
+    def inner(self, graph: Graph | NearGraph, rho: float, terms: int, names: Sequence[str], beta: np.ndarray) -> tuple[float, np.ndarray, float]:
+        """(|G|^2, Z'p, p'p) for G = W (I - rho W)^-1 and p = G Z beta, Z of the columns ``names``."""
+        if not isinstance(graph, NearGraph):
+            return graph.inner(rho, terms, self.df, names, beta)
+        norm, products, square = graph.inner(rho, terms, *self.vector(dict(zip(names, beta))))
+        return norm, products[[self.columns.index(c) for c in names]], square
+
+    def residuals(self, of: dict[str, float]) -> DataFrame | tuple[np.ndarray, np.ndarray]:
+        """(id, value): the sum of the columns by their coefficients, in the scale of y; or the vector of a ``NearGraph``."""
+        if isinstance(self.edges, NearGraph):
+            return tuple(v * self.y_scale for v in self.vector(of))
+        return self.df.select("id", (sum(F.col(c) * F.lit(v) for c, v in of.items()) * F.lit(self.y_scale)).alias("value"))
+
     def raw(self, beta: np.ndarray, lagged: bool) -> np.ndarray:
         """Coefficients of the original columns from those of the standardised ones.
 
@@ -94,7 +118,7 @@ class LagFrame:
 class LogDet:
     """ln|I - rho W| as a function of rho, its error, and the traces that the information matrix needs."""
 
-    def __init__(self, graph: Graph, *, dense: int = DENSE_ROWS):
+    def __init__(self, graph: Graph | NearGraph, *, dense: int = DENSE_ROWS):
         self.graph, self.n = graph, graph.n
         self.w = self.omega = self.traces = None
         if self.n <= dense and graph.held is not None:
@@ -139,13 +163,13 @@ class LogDet:
         self._carry_on(next(t for t in TERMS if t > len(self.traces)))
         return False
 
-    def spread(self, rho: float, x: DataFrame | None = None, names: Sequence[str] = (), beta: np.ndarray | None = None) -> tuple:
+    def spread(self, rho: float, frame: LagFrame | None = None, names: Sequence[str] = (), beta: np.ndarray | None = None) -> tuple:
         """(tr G, tr GG, |G|^2, Z'p, p'p) for G = W (I - rho W)^-1 and p = G Z beta."""
         if self.w is not None:
             g = self.w @ np.linalg.inv(np.eye(self.n) - rho * self.w)
             zp, pp = np.empty(0), 0.0
-            if x is not None:
-                z = x.select("id", *names).orderBy("id").toPandas()[list(names)].to_numpy()
+            if frame is not None:
+                z = frame.df.select("id", *names).orderBy("id").toPandas()[list(names)].to_numpy()
                 p = g @ (z @ beta)
                 zp, pp = z.T @ p, float(p @ p)
             return float(np.trace(g)), float(np.sum(g * g.T)), float(np.sum(g * g)), zp, pp
@@ -153,7 +177,7 @@ class LogDet:
         k = np.arange(m)
         once = float((rho**k * t).sum())
         twice = float(((k[:-1] + 1) * rho ** k[:-1] * t[1:]).sum())
-        return (once, twice, *self.graph.inner(rho, m, x, names, beta))
+        return (once, twice, *(self.graph.inner(rho, m) if frame is None else frame.inner(self.graph, rho, m, names, beta)))
 
     def document(self, rho: float) -> dict:
         """How the log-determinant at ``rho`` was found, and how far off it can be."""
@@ -226,7 +250,7 @@ def ml_lag(f: LagFrame, det: LogDet, durbin: bool) -> dict:
     beta = b0 - rho * bl
     s2 = sse(rho) / n
     k = len(x)
-    once, twice, norm, xp, pp = det.spread(rho, f.df, x, beta)
+    once, twice, norm, xp, pp = det.spread(rho, f, x, beta)
     m = np.zeros((k + 2, k + 2))
     m[:k, :k] = f.g(x, x) / s2
     m[:k, k] = m[k, :k] = xp / s2
@@ -318,7 +342,7 @@ def _result(f: LagFrame, names, est, cov, ll, k, coef, *, rho, lam, converged) -
             "rho": finite(rho),
             "lambda": finite(lam),
         },
-        "residuals": f.df.select("id", (sum(F.col(c) * F.lit(v) for c, v in coef.items()) * F.lit(f.y_scale)).alias("value")),
+        "residuals": f.residuals(coef),
         "converged": converged,
         "inference": (est, se, p),
     }
