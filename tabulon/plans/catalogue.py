@@ -21,7 +21,7 @@ from tabulon.operators.near import NearGraph, suits, unit
 from tabulon.operators.numeric import coercion_report, complete_cases, prepare
 from tabulon.operators.regression import Design, analyze, regress
 from tabulon.operators.rows import ROW, number_rows, preview
-from tabulon.operators.spatial import analyze_spatial
+from tabulon.operators.spatial import PARTS, analyze_spatial
 from tabulon.operators.weights import components, coordinates, duplicate_coordinates, knn_weights, lag, nearest, row_standardised
 from tabulon.plans import found
 from tabulon.runtime import cut, table
@@ -589,8 +589,8 @@ def knn_distances(spark, d):
     return knn_points(spark, d).select("i", "rank", F.round("distance", 9).alias("distance"))
 
 
-def _spatial(spark: SparkSession, d: str, method: str) -> dict:
-    return analyze_spatial(_numbered_points(spark, d), method, "longitude", "latitude", "outcome", ["income", "density"])
+def _spatial(spark: SparkSession, d: str, method: str, *parts: str) -> dict:
+    return analyze_spatial(_numbered_points(spark, d), method, "longitude", "latitude", "outcome", ["income", "density"], wanted=parts or PARTS)
 
 
 @query()
@@ -610,7 +610,7 @@ def sdm_impacts(spark, d):
 
 @query()
 def lm_tests(spark, d):
-    s = _spatial(spark, d, "slm")["model_selection"]
+    s = _spatial(spark, d, "slm", "model_selection")["model_selection"]
     rows = [(t["name"], t["statistic"], t["p_value"], s["model"]) for t in s["tests"]]
     return spark.createDataFrame(rows, "name string, statistic double, p_value double, model string")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -58,10 +59,16 @@ def kept(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     location = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
     folders(spark).until(location, path)
-    spark._jvm.System.gc()  # else shuffles of a table of this size stay until the driver happens to collect its garbage
+    swept(spark)
     return out
 
 
+def swept(spark: SparkSession) -> None:
+    """Let shuffles of tables that are no longer used go, which else stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh(taken: Sequence[str], *wanted: str) -> list[str]:
     """Column names like ``wanted`` that do not clash with ``taken`` (compared without case, as Spark does)."""
     used = {t.lower() for t in taken}
