@@ -600,7 +600,7 @@ def slm_fit(spark, d):
 
 @query()
 def sem_fit(spark, d):
-    return _coefficients(spark, _spatial(spark, d, "sem")["regression"]["coefficients"])
+    return _coefficients(spark, _spatial(spark, d, "sem", "regression")["regression"]["coefficients"])
 
 
 @query()
