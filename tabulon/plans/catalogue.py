@@ -605,7 +605,7 @@ def sem_fit(spark, d):
 
 @query()
 def sdm_impacts(spark, d):
-    return _coefficients(spark, _spatial(spark, d, "sdm")["regression"]["spatial_impacts"])
+    return _coefficients(spark, _spatial(spark, d, "sdm", "regression")["regression"]["spatial_impacts"])
 
 
 @query()
